@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding, topk
+from . import chat, fingerprints, mixing, packing, pii, sharding, topk
 from .common import crc32_text, table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(talks.unionByName(own)))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return pii.pseudonymise(docs)
+
+
 OP7_SQL = """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -56,7 +65,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pack": op3_pack, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_search": op7_search, "op9_chat": op9_chat}
+    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_search": op7_search, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
