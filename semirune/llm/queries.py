@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, packing, pii, sharding, topk
+from . import chat, fingerprints, mixing, packing, pii, secrets, sharding, topk
 from .common import crc32_text, table
 
 
@@ -24,6 +24,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    each = found.select("doc_id", F.explode("findings").alias("f"))
+    hidden = F.sha2(F.encode("f.value", "UTF-8"), 256).alias("value_sha256")
+    return each.select("doc_id", "f.start", F.length("f.found").alias("length"), F.substring("f.value", 1, 4).alias("first_chars"), hidden, F.round("f.probability", 6).alias("probability"), "f.is_secret")
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -65,7 +72,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_search": op7_search, "op9_chat": op9_chat}
+    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op5_secrets": op5_secrets, "op6_shard": op6_shard, "op7_search": op7_search, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
