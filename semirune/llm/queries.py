@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, packing, pii, secrets, sharding, topk
+from . import chat, fingerprints, mixing, ngram_join, packing, pii, secrets, sharding, topk
 from .common import crc32_text, table
 
 
@@ -44,6 +44,11 @@ def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op8_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = ngram_join.near_classes(table(spark, sf_dir, "documents"))
+    return named.select("doc_id", "class_id", "copies", "n_links", "group_id")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -72,7 +77,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op5_secrets": op5_secrets, "op6_shard": op6_shard, "op7_search": op7_search, "op9_chat": op9_chat}
+    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op5_secrets": op5_secrets, "op6_shard": op6_shard, "op7_search": op7_search, "op8_near_classes": op8_near_classes, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
