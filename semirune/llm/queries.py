@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, packing, pii, secrets, sharding, topk
+from . import chat, fingerprints, mixing, ngram_join, packing, pii, quality, secrets, sharding, topk
 from .common import crc32_text, table
 
 
@@ -15,6 +15,12 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text"), quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -77,7 +83,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op3_pack": op3_pack, "op4_mix": op4_mix, "op5_secrets": op5_secrets, "op6_shard": op6_shard, "op7_search": op7_search, "op8_near_classes": op8_near_classes, "op9_chat": op9_chat}
+    return {"op1_fingerprint": op1_fingerprint, "op10_pseudonyms": op10_pseudonyms, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_mix": op4_mix, "op5_secrets": op5_secrets, "op6_shard": op6_shard, "op7_search": op7_search, "op8_near_classes": op8_near_classes, "op9_chat": op9_chat}
 
 
 def oracle_sql() -> dict[str, str]:
