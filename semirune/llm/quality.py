@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,16 @@ THRESHOLD = 0.3
 SEED = 2
 
 
+def repeats(text: str) -> list[int]:
+    """Places of indicators of n-grams of equal words: the eighths reached by the share of words that are as one or two before, and of words that are repeats."""
+    words = text.split()
+    shares = [sum(map(str.__eq__, words, words[lag:])) / max(1, len(words) - lag) for lag in (1, 2)]
+    shares.append(1 - len(set(words)) / max(1, len(words)))
+    return [zlib.crc32(f"{i} {k}".encode()) >> (32 - TABLE_BITS) for i, share in enumerate(shares) for k in range(1, int(8 * share + 0.999) + 1)]
+
+
 def grams(text: str, scratch: np.ndarray) -> np.ndarray:
-    """Places of the byte n-grams that a text has, each once; ``scratch`` is a table of False and is so again after."""
+    """Places of the byte n-grams and of the repeats that a text has, each once; ``scratch`` is a table of False and is so again after."""
     x = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     h = np.zeros(len(x), np.uint32)
     for n in range(1, max(GRAMS) + 1):
@@ -29,6 +38,7 @@ def grams(text: str, scratch: np.ndarray) -> np.ndarray:
         h = h[: len(x) - n + 1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)
         if n in GRAMS:
             scratch[(h * np.uint32(2654435761) ^ np.uint32(n * 40503)) >> np.uint32(32 - TABLE_BITS)] = True
+    scratch[repeats(text)] = True
     found = np.flatnonzero(scratch)
     scratch[found] = False
     return found
