@@ -22,7 +22,7 @@ SEED = 20
 
 @dataclass
 class Mix:
-    documents: DataFrame  #: doc_id, source, size, source_size, target, taken, _start
+    documents: DataFrame  #: doc_id, source, size, source_size, target, taken, _source, _start, _text
     pieces: DataFrame  #: _source, _start, block, word_from, words, uses: what each document has in each block
     slots: DataFrame  #: shard, _source, epoch, block: what each output shard holds
 
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     within = Window.partitionBy("source", "_bucket").orderBy("doc_id", "_text", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = narrow.withColumn("_within", F.sum("size").over(within) - F.col("size"))
     placed = placed.join(before, placed["source"].eqNullSafe(before["_name"]) & (placed["_bucket"] == before["_b"]))
-    placed = placed.select("doc_id", "source", "size", "_source", "source_size", "target", (F.col("_before") + F.col("_within")).alias("_start"))
+    placed = placed.select("doc_id", "source", "size", "_source", "source_size", "target", (F.col("_before") + F.col("_within")).alias("_start"), "_text")
 
     # Each slot draws a source by its quota; equal bins of the unit interval make the search an equi-join.
     drawn = spark.range(n).select(F.floor(F.col("id") / SHARD_BLOCKS).alias("shard"), F.floor(unit(F.lit(seed), F.lit(1), F.col("id")) * F.lit(float(n))).cast("long").alias("_at"))
@@ -119,4 +119,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # A document that has words starts at a place of its own in its source's stream.
     taken = found.groupBy("_source", "_start").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
     documents = full.join(taken, ["_source", "_start"]).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return Mix(documents.select("doc_id", "source", "size", "source_size", "target", "taken", "_source", "_start"), found, slots)
+    return Mix(documents.select("doc_id", "source", "size", "source_size", "target", "taken", "_source", "_start", "_text"), found, slots)
+
+
+def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
+    """``docs`` with the texts that the mix takes: a row for each document with words in it, its columns as they were.
+
+    The text has the words of all blocks that are used, in order, and after a
+    newline those of the blocks that are used twice. White space after a word
+    stays with it. Texts are shuffled once; rows that are equal in doc_id and
+    text are told apart by their number.
+    """
+    key = lambda text: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text.cast("string"))
+    each = mixed.pieces.where("uses > 0").groupBy("_source", "_start").agg(F.sort_array(F.collect_list(F.struct("word_from", "words", "uses"))).alias("_pieces"))
+    each = each.join(mixed.documents.where("taken > 0"), ["_source", "_start"])
+    plans = each.groupBy(key(F.col("_text")).alias("_plan_key")).agg(F.sort_array(F.collect_list(F.struct("_start", "_pieces"))).alias("_plans"))
+    keyed = docs.withColumn("_key", key(F.xxhash64("text")))
+    joined = keyed.join(plans, F.col("_key") == F.col("_plan_key"))
+    joined = joined.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where(F.col("_number") <= F.size("_plans"))
+    joined = joined.withColumn("_mine", F.element_at("_plans", F.col("_number"))["_pieces"])
+    joined = joined.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+
+    def used(times: int) -> Column:
+        parts = F.filter("_mine", lambda p: p["uses"] >= times)
+        return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice("_words", (p["word_from"] + 1).cast("int"), p["words"].cast("int")), "")), "")
+
+    again = F.when(F.exists("_mine", lambda p: p["uses"] > 1), F.concat(F.lit("\n"), used(2))).otherwise("")
+    text = F.concat(used(1), again)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
