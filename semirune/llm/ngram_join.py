@@ -159,7 +159,7 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     mine = group if within else group[group["block"] == group["low"]]
     theirs = group if within else group[group["block"] == group["high"]]
     if not len(mine) or not len(theirs):
-        return pd.DataFrame({"text_key": [], "links": [], "joined": []}).astype({"links": "int64"})
+        return pd.DataFrame({"text_key": [], "links": [], "joined": []}).astype({"text_key": object, "links": "int64", "joined": object})
     linked = similar(list(mine["shingles"]), list(theirs["shingles"]), threshold)
     if within:
         np.fill_diagonal(linked, False)
@@ -180,9 +180,10 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         label = label[label]
         if (label == before).all():
             break
-    keys = group["text_key"].to_numpy()
-    out = pd.DataFrame({"text_key": keys, "links": links.to_numpy(), "joined": keys[label]})
-    return out[out["links"] > 0]
+    # Plain objects: Arrow-backed strings may come in chunks after a selection, which a struct can't hold.
+    keys = group["text_key"].to_numpy(dtype=object)
+    some = links.to_numpy() > 0
+    return pd.DataFrame({"text_key": keys[some], "links": links.to_numpy()[some], "joined": keys[label][some]}).astype({"text_key": object, "joined": object})
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
