@@ -98,8 +98,9 @@ def fingerprint_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     """
     known = lexicon(docs, low, high)
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    own = docs.select("doc_id", text).withColumn("n_chars", F.length("text").cast("long"))
-    own = with_fingerprint(own, "text", known, "fingerprint").withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
+    own = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), text)
+    # These four columns are all that either join reads, so both read one shuffle.
+    own = with_fingerprint(own, "text", known, "fingerprint")
     next_of = successors(docs)
     # The quarter of a document is what the longest row of its id needs.
     need = docs.groupBy("doc_id").agg(F.max(F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4)).cast("int").alias("_need"))
@@ -107,8 +108,8 @@ def fingerprint_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
     wanted = wanted.select(F.coalesce("next_id", F.lit(0)).alias("_id"), F.col("next_id").isNull().alias("_null"), F.coalesce("_for", F.lit(0)).alias("_for"), F.col("_for").isNull().alias("_for_null"), "_need")
     start = own.join(wanted, ["_id", "_null"]).select("_for", "_for_null", F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, _need)").alias("start"), F.col("fingerprint").alias("fp")).alias("_next"))
     start = start.groupBy(F.col("_for").alias("_id"), F.col("_for_null").alias("_null")).agg(F.min("_next").alias("_next"))
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    both = own.join(start, ["_id", "_null"]).withColumn("_quarter", quarter)
+    both = own.join(start, ["_id", "_null"]).withColumn("doc_id", F.when(~F.col("_null"), F.col("_id"))).withColumn("n_chars", F.length("text").cast("long"))
+    both = both.withColumn("_quarter", F.floor(F.col("n_chars") / 4).cast("int"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars) - _quarter), substring(_next.start, 1, _quarter))"))
     both = with_fingerprint(both.withColumn("_next_fp", F.col("_next")["fp"]).drop("_next", "text"), "edited", known, "edited_fingerprint")
     return both.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_fp")).alias("near_next"))
