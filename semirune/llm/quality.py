@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,11 +39,33 @@ def grams(text: str, scratch: np.ndarray) -> np.ndarray:
         if n in GRAMS:
             scratch[(h * np.uint32(2654435761) ^ np.uint32(n * 40503)) >> np.uint32(32 - TABLE_BITS)] = True
     scratch[repeats(text)] = True
-    found = np.flatnonzero(scratch)
+    found = np.flatnonzero(scratch).astype(np.int32)
     scratch[found] = False
     return found
 
 
+class Rows:
+    """Places of many texts in one array, so that fitting leaves no heap of small ones behind on the driver."""
+
+    def __init__(self, texts: Iterable[str], block: int = 256):
+        scratch = np.zeros(2**TABLE_BITS, bool)
+        blocks, waiting, lengths = [], [], []
+        for text in texts:
+            waiting.append(grams(text, scratch))
+            lengths.append(len(waiting[-1]))
+            if len(waiting) == block:
+                blocks.append(np.concatenate(waiting))
+                waiting = []
+        self.places = np.concatenate([*blocks, *waiting, np.zeros(0, np.int32)])
+        self.ends = np.cumsum([0, *lengths])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.places[self.ends[i] : self.ends[i + 1]]
+
+
 @dataclass
 class Model:
     """score = 1 / (1 + exp(-(slope * margin + offset))); ``weights`` hold the log-count ratios already."""
@@ -64,31 +86,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50))))
 
 
-def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+def log_count_ratio(rows: Sequence[np.ndarray], labels: np.ndarray, inside: np.ndarray | None = None, smooth: float = 1.0) -> np.ndarray:
     """For each place, the log of its share of class 1's indicators over its share of class 0's."""
     counts = np.full((2, 2**TABLE_BITS), smooth)
-    for found, label in zip(rows, labels):
-        counts[int(label), found] += 1
+    for i in range(len(rows)) if inside is None else inside:
+        counts[int(labels[i]), rows[i]] += 1
     counts /= counts.sum(axis=1, keepdims=True)
     return np.log(counts[1] / counts[0]).astype(np.float32)
 
 
-def fit_hinge(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 20, seed: int = SEED) -> tuple[np.ndarray, float]:
+def fit_hinge(rows: Sequence[np.ndarray], labels: np.ndarray, ratio: np.ndarray, inside: np.ndarray | None = None, cost: float = 1.0, rounds: int = 20, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Linear hinge loss by dual coordinate descent over unit-length rows of scaled indicators; a constant gives the bias."""
     rng = np.random.default_rng(seed)
     y = np.where(labels == 1, 1.0, -1.0)
     weights, bias = np.zeros(len(ratio), np.float32), 0.0
     alpha = np.zeros(len(rows))
-    share = {1.0: (y > 0).mean(), -1.0: (y < 0).mean()}
+    inside = np.arange(len(rows)) if inside is None else inside
+    share = {v: (y[inside] == v).mean() for v in (1.0, -1.0)}
     most = np.array([cost * 0.5 / max(share[v], 1e-9) for v in y])  # both classes weigh the same
-    scaled = []
-    for found in rows:
-        r = ratio[found]
-        scaled.append(r / max(np.sqrt(float(r @ r)), 1e-12))
+    scale = np.zeros(len(rows), np.float32)
+    for i in inside:
+        r = ratio[rows[i]]
+        scale[i] = 1 / max(np.sqrt(float(r @ r)), 1e-12)
     for _ in range(rounds):
         largest = 0.0
-        for i in rng.permutation(len(rows)):
-            found, x = rows[i], scaled[i]
+        for i in inside[rng.permutation(len(inside))]:
+            found = rows[i]
+            x = ratio[found] * scale[i]
             gradient = y[i] * (float(weights[found] @ x) + bias) - 1
             new = min(max(alpha[i] - gradient / 2, 0.0), most[i])  # a row and the constant have a squared length of 2
             change = (new - alpha[i]) * y[i]
@@ -117,10 +141,9 @@ def fit_logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]
     return float(theta[0]), float(theta[1])
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
+def fit(texts: Iterable[str], labels: np.ndarray, seed: int = SEED) -> Model:
     """Fit on labelled texts; scores are calibrated on margins of folds that were held out."""
-    scratch = np.zeros(2**TABLE_BITS, bool)
-    rows = [grams(t, scratch) for t in texts]
+    rows = Rows(texts)
     if len(set(labels.tolist())) < 2:
         # One class only, or none: the score is that class's smoothed share.
         share = (labels.sum() + 1) / (len(labels) + 2)
@@ -130,8 +153,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     margins = np.zeros(len(rows))
     for k in range(FOLDS):
         inside = np.flatnonzero(fold != k)
-        ratio = log_count_ratio([rows[i] for i in inside], labels[inside])
-        part = Model(ratio, *fit_hinge([rows[i] for i in inside], labels[inside], ratio))
+        ratio = log_count_ratio(rows, labels, inside)
+        part = Model(ratio, *fit_hinge(rows, labels, ratio, inside))
         for i in np.flatnonzero(fold == k):
             margins[i] = part.margin(rows[i])
     ratio = log_count_ratio(rows, labels)
@@ -155,8 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, seed: int
     # At most max_fit rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    texts = rows.column("text").to_pylist()
-    return fit([texts[i] or "" for i in order], rows.column("quality").to_numpy()[order].astype(float), seed)
+    texts = rows.column("text").combine_chunks()
+    return fit((texts[i].as_py() or "" for i in order), rows.column("quality").to_numpy()[order].astype(float), seed)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
