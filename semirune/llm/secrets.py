@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A private key; a value set to a name such as token or password; a run of key characters that has a digit.
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
-NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api_?-?key|access_?-?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,200})"
+NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api_?-?key|access_?-?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,}+)"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 CANDIDATE = f"{PEM}|{NAMED}|{RUN}"
 CONTEXT = 48

@@ -115,6 +115,15 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_long_values_are_whole(spark):
+    tail = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:8].upper() + "qzXw"[i % 4] for i in range(500))
+    rows = [(n, f'said token = "{tail[:n]}" and more') for n in (199, 200, 201, 400, 4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert [(f.value, f.is_secret) for f in r.findings] == [(tail[: r.doc_id], True)]
+    assert {r.text for r in secrets.redact(df).collect()} == {'said token = "[SECRET]" and more'}
+
+
 # 10
 
 
