@@ -187,13 +187,14 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_key, class_id, copies, n_links, group_id for every row of ``docs`` (doc_id, text).
+    """doc_id, text_key, class_id, copies, n_links, group_id, component for every row of ``docs`` (doc_id, text).
 
     Rows of equal text are a class (class_id: the smallest doc_id; copies: how
     many rows). Classes are linked where their sets of five-word runs have a
     Jaccard index of ``threshold`` or more. n_links counts the other rows a row
     is linked to, copies of its own text included; group_id is the smallest
-    doc_id that can be reached over links.
+    doc_id that can be reached over links. Groups may share it, or have none:
+    what tells them apart is component, their smallest text_key.
 
     Bands and rows are chosen for ``recall`` at the threshold. Band hashes are
     shuffled without the texts; texts that meet in a band hash, directly or
@@ -231,14 +232,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     named = classes.select("text_key", "class_id", "copies").join(joined, F.col("text_key") == F.col("node"), "left").join(links, F.col("text_key") == F.col("_linked"), "left")
     named = named.withColumn("component", F.coalesce("component", "text_key"))
     least = named.groupBy(F.col("component").alias("_c")).agg(F.min("class_id").alias("group_id"))
-    named = named.join(least, F.col("component") == F.col("_c")).select(F.col("text_key").alias("_key"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group_id")
+    named = named.join(least, F.col("component") == F.col("_c")).select(F.col("text_key").alias("_key"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group_id", "component")
     return own.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("_key")).drop("_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id; among rows that repeat it, one."""
+    """``docs`` with one row of each group: that of the smallest doc_id, a null one only if all are; among rows that repeat it, one."""
     named = near_classes(docs, threshold, recall)
-    best = named.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(F.min("text_key").alias("_kept_key"), F.count("*").alias("_repeats"))
+    best = named.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id", "component").agg(F.min("text_key").alias("_kept_key"), F.count("*").alias("_repeats"))
     best = checkpointed(best.select(F.col("group_id").alias("_kept_id"), "_kept_key", "_repeats"))
     kept = docs.withColumn("_key", text_key()).join(best, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")))
     single = kept.where("_repeats = 1").select(*docs.columns)

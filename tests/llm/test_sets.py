@@ -234,6 +234,16 @@ def test_keep_one(docs):
     assert sorted(map(str, kept)) == sorted(map(str, groups))
 
 
+def test_keep_one_of_each_group_whatever_its_ids(spark):
+    text = lambda seed: " ".join(f"w{seed}x{i}" for i in range(40))
+    near = text(0) + " more"
+    rows = [(None, text(0)), (None, near), (None, text(1)), (None, text(1)), (None, text(2)), (None, "")]
+    rows += [(7, text(3)), (7, text(4)), (7, text(4)), (8, text(5)), (None, text(5)), (9, text(5) + " more"), (8, text(6))]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = (None, text(0)) if (None, text(0)) in got else (None, near)
+    assert got == Counter([first, (None, text(1)), (None, text(2)), (None, ""), (7, text(3)), (7, text(4)), (8, text(5)), (8, text(6))])
+
+
 def test_bands():
     bands, rows = ngram_join.bands_and_rows()
     assert bands * rows <= ngram_join.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
