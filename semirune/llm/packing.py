@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -119,14 +120,19 @@ def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, list
 
     Lengths go longest first. All packs of one pattern are handled together:
     the open pattern with most space left takes as many of the length as it has
-    packs; what remains opens new packs.
+    packs. When none has room, as many packs open as the tokens still to be
+    placed will fill beyond the space that is open, but enough for what remains
+    and one for each at most. So a length stacks with itself where shorter ones
+    can't fill packs of their own.
     """
     open_at: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     full: list[tuple[int, list[int]]] = []
-    most = 0
+    most = free = 0
+    rest = sum(length * n for length, n in histogram.items())
 
     def put(count: int, pattern: list[int], space: int) -> None:
-        nonlocal most
+        nonlocal most, free
+        free += count * space
         if space:
             open_at[space].append((count, pattern))
             most = max(most, space)
@@ -139,28 +145,32 @@ def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, list
             while most and not open_at[most]:
                 most -= 1
             if most < length:
-                put(left, [length], max_tokens - length)
-                break
-            space = most
-            count, pattern = open_at[space].pop()
-            used = min(count, left)
-            if used < count:
-                open_at[space].append((count - used, pattern))
+                pattern, space = [], max_tokens
+                used = min(left, max(-(-left // (max_tokens // length)), -(-(rest - free) // max_tokens)))
+            else:
+                space = most
+                count, pattern = open_at[space].pop()
+                used = min(count, left)
+                if used < count:
+                    open_at[space].append((count - used, pattern))
+                free -= used * space
             put(used, [*pattern, length], space - length)
             left -= used
+            rest -= used * length
     return full + [x for space in sorted(open_at) for x in open_at[space]]
 
 
 def slots(found: list[tuple[int, list[int]]]) -> list[dict]:
-    """For each pattern's slot: which ranks of its length it takes, from which sequence on, and where."""
+    """For each pattern and length: which ranks of the length it takes, from which of how many packs on, and where; the ranks go round the packs."""
     taken: dict[int, int] = defaultdict(int)
     rows, first = [], 0
     for count, pattern in found:
         offset = 0
-        for length in pattern:
-            rows.append({"length": length, "low": taken[length], "high": taken[length] + count, "first": first, "offset": offset})
-            taken[length] += count
-            offset += length
+        for length, same in groupby(pattern):
+            stacked = len(list(same))
+            rows.append({"length": length, "low": taken[length], "high": taken[length] + count * stacked, "first": first, "packs": count, "offset": offset})
+            taken[length] += count * stacked
+            offset += length * stacked
         first += count
     return rows
 
@@ -188,7 +198,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_tokens: int
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    # At most one interval for each slot of a pattern: a few thousand rows, whatever the input.
-    where = F.broadcast(literal_rows(spark, rows, "length long, low long, high long, first long, offset long"))
+    # At most one interval for each length of a pattern: a few thousand rows, whatever the input.
+    where = F.broadcast(literal_rows(spark, rows, "length long, low long, high long, first long, packs long, offset long"))
     placed = ranked.join(where, (ranked["length"] == where["length"]) & (ranked["_rank"] >= where["low"]) & (ranked["_rank"] < where["high"]))
-    return placed.select("doc_id", "start", ranked["length"].alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
+    at = F.col("_rank") - F.col("low")
+    sequence = F.col("first") + at % F.col("packs")
+    offset = F.col("offset") + ranked["length"] * F.floor(at / F.col("packs"))
+    return placed.select("doc_id", "start", ranked["length"].alias("length"), "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"))

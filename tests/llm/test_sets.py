@@ -64,6 +64,25 @@ def test_patterns():
         assert sum(r["high"] - r["low"] for r in rows) == sum(histogram.values())
 
 
+@pytest.mark.parametrize("hot", [1, 50, 300, 500, 700, 1000])
+def test_fill_with_a_hot_length(hot):
+    rng = random.Random(hot)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(4000)]
+    histogram = Counter(lengths + [hot] * 2000)
+    found = packing.patterns(histogram, 2048)
+    assert sum(n * sum(p) for n, p in found) == sum(x * n for x, n in histogram.items())
+    assert sum(n for n, _ in found) <= -(-sum(x * n for x, n in histogram.items()) // 2048) * 1.1
+    assert len(packing.slots(found)) < 20_000
+
+
+def test_packing_of_copies(spark):
+    texts = [None] * 3000 + ["one two three four five six seven eight nine ten"] * 700 + [f"own {i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, max_tokens=256).collect()
+    assert check_packed(rows, texts, 256) <= sum(r.length for r in rows) / 256 * 1.1 + 1
+    assert check_packed(packing.pack(df.where("text IS NULL"), max_tokens=256).collect(), [None] * 3000, 256) == 12
+
+
 def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
