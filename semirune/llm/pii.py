@@ -13,7 +13,11 @@ DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Digits and single separators up to a value of another kind: a card, or cards beside other numbers.
+CARD = rf"(?<!\d)\d(?:\d|[ -](?!{EMAIL}|{DATE}|{IP}|{SSN}|{PHONE})\d){{12,}}+"
+#: How many digits the parts of a card have, longest first; a card of one part has 13 to 19.
+CARD_PARTS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+CARD_DIGITS = (13, 19)
 FOUND = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 
@@ -88,12 +92,82 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
+def _luhn(digits: Column) -> Column:
+    return luhn_sum(digits) % 10 == 0
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with ``value`` computed once: lambdas would compute it wherever it stands."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def card_spans(parts: Column, lengths: Column) -> Column:
+    """Which of a run's ``parts`` (digit strings) with their ``lengths`` are cards: an array of (first, n), places from 1.
+
+    Luhn-valid parts or groups of parts that are written as cards are, come
+    first. What lies between them is taken up to 19 digits at a time, however
+    it is spaced, and is a card where that is Luhn-valid.
+    """
+    low, high = CARD_DIGITS
+    kind_of = "array<struct<first:int,n:int>>"
+    places = F.sequence(F.lit(1), F.size(parts))
+    joined = lambda i, n: F.array_join(F.slice(parts, i, n), "")
+    start = F.struct(F.lit(1).alias("next"), F.array().cast(kind_of).alias("spans"))
+
+    def written(s: Column, i: Column) -> Column:
+        n = F.lit(0)
+        for form in reversed(CARD_PARTS):
+            fits = F.slice(lengths, i, F.lit(len(form))) == F.array(*[F.lit(x) for x in form])
+            n = F.when(fits & _luhn(joined(i, F.lit(len(form)))), len(form)).otherwise(n)
+        n = F.when(F.element_at(lengths, i).between(low, high) & _luhn(F.element_at(parts, i)), 1).otherwise(n)
+        return F.aggregate(F.array(F.when(i >= s["next"], n).otherwise(0)), s, lambda t, k: F.when(k > 0, F.struct((i + k).alias("next"), F.concat(t["spans"], F.array(F.struct(i.alias("first"), k.alias("n")))).alias("spans"))).otherwise(t))
+
+    def spaced(s: Column, i: Column) -> Column:
+        free = lambda k: ~F.exists(s["spans"], lambda x: (x["first"] < i + k) & (x["first"] + x["n"] > i))
+        fitting = F.filter(F.sequence(F.lit(1), F.least(F.lit(high), F.size(parts) - i + 1)), lambda k: (F.length(joined(i, k)) <= high) & free(k))
+        most = F.when(i >= s["next"], F.coalesce(F.array_max(fitting), F.lit(0))).otherwise(0)
+
+        def take(t: Column, k: Column) -> Column:
+            digits = joined(i, k)
+            found = F.when(_luhn(digits), F.concat(t["spans"], F.array(F.struct(i.alias("first"), k.alias("n"))))).otherwise(t["spans"])
+            return F.when((k > 0) & (F.length(digits) >= low), F.struct((i + k).alias("next"), found.alias("spans"))).otherwise(t)
+
+        return F.aggregate(F.array(most), s, take)
+
+    as_written = F.aggregate(places, start, written, lambda s: F.struct(F.lit(1).alias("next"), s["spans"].alias("spans")))
+    return F.aggregate(places, as_written, spaced, lambda s: s["spans"])
+
+
+def cards(m: Column, key: str) -> Column:
+    """(new, n): the run with its cards changed, and how many there are; other numbers beside them stay."""
+
+    def of_parts(x: Column) -> Column:
+        parts, between = x["parts"], x["between"]
+
+        def text(i: Column, n: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(i, i + n - 1), lambda k: F.concat(F.when(k > i, F.substr(between, k - 1, F.lit(1))).otherwise(""), F.element_at(parts, k))), "")
+
+        def one(spans: Column) -> Column:
+            def piece(k: Column) -> Column:
+                of = F.try_element_at(F.filter(spans, lambda s: (s["first"] <= k) & (s["first"] + s["n"] > k)), F.lit(1))
+                gap = F.when(k > 1, F.substr(between, k - 1, F.lit(1))).otherwise("")
+                return _once(of, lambda s: F.when(s.isNull(), F.concat(gap, F.element_at(parts, k))).when(s["first"] == k, F.concat(gap, _once(text(s["first"], s["n"]), lambda t: card(t, key)))).otherwise(""))
+
+            new = F.array_join(F.transform(F.sequence(F.lit(1), F.size(parts)), piece), "")
+            return F.struct(F.when(F.size(spans) > 0, new).otherwise(m).alias("new"), F.size(spans).alias("n"))
+
+        return _once(card_spans(parts, x["lengths"]), one)
+
+    parts = F.split(m, "[ -]")
+    return _once(F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.length(p)).alias("lengths"), F.regexp_replace(m, r"\d", "").alias("between")), of_parts)
+
+
 def card(m: Column, key: str) -> Column:
-    """Luhn-valid numbers: all but the last digit are permuted and the check digit is made anew."""
+    """A Luhn-valid number: all but the last digit are permuted and the check digit is made anew."""
     d = _digits(m)
     payload = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
     check = (10 - luhn_sum(F.concat(payload, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(d) % 10 == 0, refill(m, F.concat(payload, check.cast("string")))).otherwise(m)
+    return refill(m, F.concat(payload, check.cast("string")))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -184,20 +258,21 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     named = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     has = F.col("text").rlike("[0-9@]")
     split = docs.select(*named, F.when(has, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("_found"))
-    change = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
+    change = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone}
 
-    def moved(m: Column) -> Column:
-        known = kind(m)
-        out = F.when(known == "email", change["email"](m, key))
-        for name in KINDS[1:]:
-            out = out.when(known == name, change[name](m, key))
-        return F.struct(known.alias("kind"), F.coalesce(out, m).alias("new"), m.alias("old"))
+    def moved(x: Column) -> Column:
+        m, known = x["m"], x["kind"]
+        alone = lambda new: _once(F.coalesce(new, m), lambda v: F.struct(v.alias("new"), (v != m).cast("int").alias("n")))
+        out = F.when(known == "card", cards(m, key))
+        for name, by in change.items():
+            out = out.when(known == name, alone(by(m, key)))
+        return F.struct(known.alias("kind"), out.alias("put"))
 
     some = F.size("_found") > 0
-    put = split.select(*named, F.when(some, F.transform("_found", moved)).alias("_found"))
+    put = split.select(*named, F.when(some, F.transform(F.transform("_found", lambda m: F.struct(m.alias("m"), kind(m).alias("kind"))), moved)).alias("_found"))
     between = F.split(F.col("text"), FOUND, -1)
-    ends = F.concat(F.transform("_found", lambda f: f["new"]), F.array(F.lit("")))
+    ends = F.concat(F.transform("_found", lambda f: f["put"]["new"]), F.array(F.lit("")))
     text = F.when(F.col("_found").isNotNull(), F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
-    changed = lambda name: lambda f: (f["kind"] == name) & (f["new"] != f["old"])
-    counts = [F.coalesce(F.size(F.filter("_found", changed(k))), F.lit(0)).alias(f"n_{k}") for k in KINDS]
+    counted = lambda name: lambda s, f: s + F.when(f["kind"] == name, f["put"]["n"]).otherwise(0)
+    counts = [F.coalesce(F.aggregate("_found", F.lit(0), counted(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS]
     return put.select(*[text.alias("text") if c == "text" else F.col(c) for c in named], *counts)

@@ -152,6 +152,25 @@ def test_pseudonyms(spark, docs, none):
     assert pii.pseudonymise(none).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    a, b, amex = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    #: Text with a card at {}, the card, and how many values of other kinds there are.
+    cases = [
+        ("{} 12/26", b, {}), ("{} 123", a, {}), ("2 {}", a, {}), ("{} 190.137.223.204", a, {"ip": 1}), ("{} 123-45-6789", a, {"ssn": 1}), ("{} 743 555 3824", b, {"phone": 1}), ("{} 2020-02-29", a, {"date": 1}),
+        ("{} 12ab@example.com", a, {"email": 1}), ("2023 {} 123", b, {}), ("12 41 {}", b, {}), ("{} 1234", amex, {}), ("7 {} 7", "4111-1111-1111-1111", {}), ("{} 123456789012345678901234", a, {}), ("{}", "41111111 11111111", {}),
+    ]
+    rows = [(i, t.format(c)) for i, (t, c, _) in enumerate(cases)] + [(90, f"{a} {b} 12 {amex}"), (91, "4222222222222 " + b), (92, "123 743 555 3824"), (93, "2 4111111111111112")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    alone = {c: r.text for c, r in zip((a, b, amex), pii.pseudonymise(spark.createDataFrame([(0, a), (1, b), (2, amex)], "doc_id long, text string"), "key").orderBy("doc_id").collect())}
+    for i, (t, c, others) in enumerate(cases):
+        assert c not in got[i].text and got[i].n_card == 1, got[i]
+        assert {k: got[i][f"n_{k}"] for k in pii.KINDS if k != "card" and got[i][f"n_{k}"]} == others, got[i]
+        assert others or c not in alone or got[i].text == t.format(alone[c])
+    assert got[90].text == f"{alone[a]} {alone[b]} 12 {alone[amex]}" and got[90].n_card == 3
+    assert got[91].n_card == 2 and got[91].text.endswith(alone[b])
+    assert (got[92].n_phone, got[92].n_card) == (1, 0) and got[93].text == "2 4111111111111112"
+
+
 def test_permutations(spark):
     four = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(pii.permute_digits(F.col("d"), "k", "t").alias("p"))
     assert four.distinct().count() == 10_000
