@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A private key; a value set to a name such as token or password; a run of key characters that has a digit.
-PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
-NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api_?-?key|access_?-?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,}+)"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+#: A private key, up to its end or, where that is missing, as far as its lines go.
+KEY = r"[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+PEM = rf"-----BEGIN {KEY}(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END {KEY}|(?:\s++[A-Za-z0-9+/=]{{40,}}+)++)"
+#: A value set to a name such as token or password, which may go on: AWS_ACCESS_KEY_ID, secretValue, token2.
+NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api_?-?key|access_?-?key|auth)(?:[_-][A-Za-z0-9_-]{0,63}+|[A-Z][a-z][A-Za-z0-9_-]{0,62}+|[0-9]{1,3}+)?+[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,}+)"
+#: How keys of well-known services begin.
+PREFIXED = r"(?:A[KS]IA[A-Z2-7]{16}|gh[opsur]_[A-Za-z0-9]{20}|github_pat_[A-Za-z0-9_]{20}|glpat-[A-Za-z0-9_-]{16}|xox[abeprs]-[A-Za-z0-9-]{10}|sk-[A-Za-z0-9_-]{20})"
+#: A run of key characters that has a digit, begins as such keys do, or is long and of both cases; not one that names what follows.
+RUN = rf"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])|(?={PREFIXED})|(?=[a-z+/_-]*+[A-Z])(?=[A-Z+/_-]*+[a-z])(?=[A-Za-z+/_-]{{20}}))(?![A-Za-z0-9+/_-]*?{NAMED})[A-Za-z0-9+/_-]{{12,}}={{0,2}}"
 CANDIDATE = f"{PEM}|{NAMED}|{RUN}"
 CONTEXT = 48
 THRESHOLD = 0.5
@@ -26,7 +31,7 @@ SECRET_WORDS = r"(?i)(token|secret|passw|pwd|passphrase|credential|api_?-?key|ac
 OTHER_WORDS = r"(?i)(commit|sha\d*|md5|checksum|digest|uuid|guid|hash|revision|etag|isbn|card|phone|invoice|order|serial|version|build)"
 EXAMPLE_WORDS = r"(?i)(example|sample|dummy|placeholder|changeme|your|test|fake|xxx)"
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "distinct", "rare_pairs", "dictionary", "slashes", "path", "hex", "only_digits", "uuid", "named", "quoted", "secret_words", "other_words", "example_words", "address", "pem")
+FEATURES = ("length", "digits", "upper", "lower", "other", "changes", "distinct", "rare_pairs", "dictionary", "slashes", "path", "hex", "only_digits", "uuid", "named", "quoted", "secret_words", "other_words", "example_words", "address", "pem", "prefixed")
 
 
 def _share(value: Column, kept: str) -> Column:
@@ -65,6 +70,7 @@ def features(found: Column, before: Column, after: Column) -> Column:
         flag(F.concat_ws(" ", near, value).rlike(EXAMPLE_WORDS)).alias("example_words"),
         flag(before.rlike(r"(@|://|www\.)\S*$") | after.rlike(r"^@|^\.[a-z]{2,}")).alias("address"),
         flag(found.startswith("-----BEGIN")).alias("pem"),
+        flag(value.rlike(f"^{PREFIXED}")).alias("prefixed"),
     )
 
 
@@ -97,6 +103,7 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
     mixed = F.substr(F.regexp_replace(base64, "=", ""), F.lit(1), draw(9, [16, 20, 24, 32, 40]))
     strong = F.concat(F.substring(base64, 2, 5), draw(10, ["!", "#", "$", "%", "&"]), F.substring(base64, 11, 5))
     pem = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base64, F.lit("\n-----END RSA PRIVATE KEY-----"))
+    letters = lambda c: F.translate(c, "0123456789+/=", "qKzWxJvQbGkTp")
     empty = F.lit("")
     secret = [
         (prose, F.concat(name, setting, some_hex), closing),
@@ -106,6 +113,8 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
         (F.concat(prose, draw(14, ["", "bearer ", "login "])), F.concat(draw(15, ["ghp_", "gho_", "sk-", "xoxb-", "glpat-"]), F.substring(F.regexp_replace(base64, "[+/=]", "x"), 1, 36)), empty),
         (F.concat(prose, draw(16, ["secret key ", "private token ", "credential "])), mixed, empty),
         (prose, pem, empty),
+        (F.concat(prose, draw(17, ["", "key ", "aws "])), F.concat(draw(18, ["AKIA", "ASIA"]), F.substring(F.upper(letters(base64)), 1, 16)), empty),
+        (F.concat(prose, draw(19, ["", "secret key ", "private token ", "credential "])), F.substr(letters(base64), F.lit(1), draw(20, [20, 24, 32, 40])), empty),
     ]
     other = [
         (F.concat(prose, draw(21, ["commit ", "sha256:", "checksum ", "md5 ", "etag \"", "revision "])), some_hex, empty),
@@ -118,6 +127,9 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
         (F.concat(prose, word(1), F.lit(".")), number("i", 2), F.concat(F.lit("@"), word(2), F.lit(".example.com"))),
         (F.concat(prose, F.lit("thaner@")), F.concat(word(1), number("k", 1), F.lit("-"), word(2)), F.lit(".example.com")),
         (prose, F.concat(F.lit("-"), F.repeat(word(1), 3), number("l", 1)), empty),
+        (prose, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), F.initcap(word(29))), draw(30, ["(", ".", " ", ","])),
+        (prose, F.concat_ws("-", F.initcap(word(1)), F.initcap(word(2)), word(3), F.initcap(word(4)), word(29)), empty),
+        (F.concat(prose, draw(31, ["/", "./", "https://", "in "])), F.concat_ws("/", word(1), F.initcap(word(2)), F.concat(word(3), F.initcap(word(4))), word(29)), draw(32, [".py", ".html", "", ".json"])),
     ]
     kinds = [F.struct(b.alias("before"), f.alias("found"), a.alias("after"), F.lit(label).alias("label")) for label, of in ((1.0, secret), (0.0, other)) for b, f, a in of]
     at = (F.col("id") % len(kinds) + 1).cast("int")
@@ -157,8 +169,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """
     forest = train(findings if findings is not None else labelled_findings(docs.sparkSession))
     kept = [c for c in docs.columns if c != "findings"]
-    # Most texts have neither a digit nor the name of a secret.
-    may = F.col("text").rlike("[0-9]|(?i:token|secret|pass|pwd|key|auth)")
+    # Most texts have neither a digit, nor the name of a secret, nor a long run.
+    may = F.col("text").rlike("[0-9]|(?i:token|secret|pass|pwd|key|auth)|[A-Za-z+/_-]{20}")
     split = docs.select(*kept, F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("_found"))
     split = split.select(*kept, F.when(F.size("_found") > 0, F.col("_found")).alias("_found"))
     split = split.select(*kept, "_found", F.when(F.col("_found").isNotNull(), F.split("text", CANDIDATE, -1)).alias("_between"))
