@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "change this key"
+#: Where a session keeps the key of its pseudonyms.
+KEY_SETTING = "spark.semirune.pseudonyms.key"
 ROUNDS = 8
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+#: The first letter or digit of a run, whatever its length, or the first after the value before; so no run is read twice.
+EMAIL_START = r"(?<![A-Za-z0-9])(?:(?<![A-Za-z0-9][._%+-]{1,8})|(?<=\G[._%+-]{1,8}))"
+DOMAIN = r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+EMAIL = rf"{EMAIL_START}[A-Za-z0-9][A-Za-z0-9._%+-]*+{DOMAIN}"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 #: Digits and single separators up to a value of another kind: a card, or cards beside other numbers.
-CARD = rf"(?<!\d)\d(?:\d|[ -](?!{EMAIL}|{DATE}|{IP}|{SSN}|{PHONE})\d){{12,}}+"
+CARD = rf"(?<!\d)\d(?:\d|[ -](?![A-Za-z0-9][A-Za-z0-9._%+-]{{0,99}}{DOMAIN}|{DATE}|{IP}|{SSN}|{PHONE})\d){{12,}}+"
 #: How many digits the parts of a card have, longest first; a card of one part has 13 to 19.
 CARD_PARTS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 CARD_DIGITS = (13, 19)
 FOUND = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 
-#: Dates from FIRST_DAY on, for DAYS days (two centuries), are permuted among themselves.
-FIRST_DAY, DAYS = "1900-01-01", 73049
+#: Dates from FIRST_DAY on, for DAYS days (two centuries), are permuted among themselves; so are the other days of the
+#: years 1 to 9999, of which EARLIER lie before. The sizes are followed by two factors whose product is that size or little more.
+FIRST_DAY, DAYS, DAYS_BY = "1900-01-01", 73049, (270, 271)
+EARLIER, OTHER_DAYS, OTHER_BY = 693595, 3579010, (1258, 2845)
 
 
 def _random(key: str, tweak: str, *values: Column) -> Column:
@@ -183,35 +191,42 @@ def _ssn_valid(d: Column) -> Column:
 
 
 def ssn(m: Column, key: str) -> Column:
-    """Numbers that may be issued are permuted among themselves: the cycle is walked to the next one (64 steps; 1 in 10 fails a step)."""
+    """Numbers that may be issued are permuted among themselves: the cycle is walked to the next one (64 steps; 1 in 10 fails a step). Others are null."""
     d = _digits(m)
     found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), permute_digits(d, key, "ssn"), lambda x, _: F.when(_ssn_valid(x), x).otherwise(permute_digits(x, key, "ssn")))
-    return F.when(_ssn_valid(d), refill(m, found)).otherwise(m)
+    return F.when(_ssn_valid(d), refill(m, found))
 
 
 def ip(m: Column, key: str) -> Column:
-    """Addresses with octets up to 255 are permuted among all."""
+    """Addresses with octets up to 255 are permuted among all; others are null."""
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     put = permute_number(number, 2**16, 2**16, 2**32, key, "ip")
     out = F.aggregate(F.array(put), F.lit(""), lambda _, p: F.concat_ws(".", *[(F.shiftright(p, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
-    return F.when(F.forall(octets, lambda x: x <= 255), out).otherwise(m)
+    return F.when(F.forall(octets, lambda x: x <= 255), out)
 
 
 def date(m: Column, key: str) -> Column:
-    """Days of the calendar from 1900 to 2099 are permuted among themselves and written in the same form.
+    """Days of the calendar are permuted among those of 1900 to 2099, or among all others, and written in the same form; what is no day is null.
 
     12/31/2020 is read month first where that is a day, else day first.
     """
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def moved(at: Column) -> Column:
+        near = permute_number(at, *DAYS_BY, DAYS, key, "date")
+        # Days outside the two centuries are numbered without a gap.
+        far = permute_number(F.when(at < 0, at + EARLIER).otherwise(at - DAYS + EARLIER), *OTHER_BY, OTHER_DAYS, key, "other date")
+        far = F.aggregate(F.array(far), F.lit(0).cast("long"), lambda _, x: F.when(x < EARLIER, x - EARLIER).otherwise(x - EARLIER + DAYS))
+        return F.when(at.between(0, DAYS - 1), near).otherwise(far)
 
     def as_form(form: str) -> tuple[Column, Column]:
         day = F.try_to_date(m, form)
-        at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        moved = F.aggregate(F.array(permute_number(at, 270, 271, DAYS, key, "date")), F.lit(""), lambda _, x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int")), form))
-        return day.isNotNull() & at.between(0, DAYS - 1), moved
+        out = F.aggregate(F.array(moved(F.datediff(day, first))), F.lit(""), lambda _, x: F.date_format(F.date_add(first, x.cast("int")), form))
+        return day.isNotNull(), out
 
     iso, us, eu, dotted = map(as_form, ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"))
-    return F.when(m.contains("-") & iso[0], iso[1]).when(m.contains("/") & us[0], us[1]).when(m.contains("/") & eu[0], eu[1]).when(m.contains(".") & dotted[0], dotted[1]).otherwise(m)
+    return F.when(m.contains("-") & iso[0], iso[1]).when(m.contains("/") & us[0], us[1]).when(m.contains("/") & eu[0], eu[1]).when(m.contains(".") & dotted[0], dotted[1])
 
 
 def email(m: Column, key: str) -> Column:
@@ -243,7 +258,16 @@ def kind(m: Column) -> Column:
     return F.when(m.contains("@"), "email").when(whole(DATE), "date").when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(PHONE), "phone").otherwise("card")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's KEY_SETTING; where there is none, a random one is put there, which only this session knows."""
+    known = spark.conf.get(KEY_SETTING, None)
+    if not known:
+        known = token_hex(32)
+        spark.conf.set(KEY_SETTING, known)
+    return known
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replaces personal data in ``docs.text`` by pseudonyms of the same format, and adds ``n_<kind>``, how many of each kind.
 
     E-mail addresses, dates, IPv4 addresses, US social security numbers, phone
@@ -251,28 +275,36 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     calendar, octets, issuable areas); what fails stays as it is and isn't
     counted. Each value is permuted by ``key`` within its format, so equal
     values, however they are spaced, get equal pseudonyms in all documents, and
-    different values different ones. All else stays: null texts stay null, and
-    other columns are kept, except that any named n_<kind> is replaced. One
-    pass over the rows, without a shuffle.
+    different values different ones; who has the key can turn them back, so it
+    has no default. One value in a format's number of values is its own
+    pseudonym; it counts.
+
+    All else stays: null texts stay null and count nothing, empty ones stay
+    empty, texts of any length are read whole, repeated rows are changed alike,
+    and an empty table is empty. Columns are kept whatever their names, except
+    that any named n_<kind> is replaced. One pass over the rows, without a
+    shuffle.
     """
+    if not key:
+        raise ValueError("pseudonyms take a key")
     named = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     has = F.col("text").rlike("[0-9@]")
-    split = docs.select(*named, F.when(has, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("_found"))
+    split = docs.select(F.struct(*[F.col(f"`{c}`") for c in named]).alias("row"), "text", F.when(has, F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("found"))
     change = {"email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone}
 
     def moved(x: Column) -> Column:
         m, known = x["m"], x["kind"]
-        alone = lambda new: _once(F.coalesce(new, m), lambda v: F.struct(v.alias("new"), (v != m).cast("int").alias("n")))
+        alone = lambda new: _once(new, lambda v: F.struct(F.coalesce(v, m).alias("new"), v.isNotNull().cast("int").alias("n")))
         out = F.when(known == "card", cards(m, key))
         for name, by in change.items():
             out = out.when(known == name, alone(by(m, key)))
         return F.struct(known.alias("kind"), out.alias("put"))
 
-    some = F.size("_found") > 0
-    put = split.select(*named, F.when(some, F.transform(F.transform("_found", lambda m: F.struct(m.alias("m"), kind(m).alias("kind"))), moved)).alias("_found"))
+    some = F.size("found") > 0
+    put = split.select("row", "text", F.when(some, F.transform(F.transform("found", lambda m: F.struct(m.alias("m"), kind(m).alias("kind"))), moved)).alias("found"))
     between = F.split(F.col("text"), FOUND, -1)
-    ends = F.concat(F.transform("_found", lambda f: f["put"]["new"]), F.array(F.lit("")))
-    text = F.when(F.col("_found").isNotNull(), F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
+    ends = F.concat(F.transform("found", lambda f: f["put"]["new"]), F.array(F.lit("")))
+    text = F.when(F.col("found").isNotNull(), F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
     counted = lambda name: lambda s, f: s + F.when(f["kind"] == name, f["put"]["n"]).otherwise(0)
-    counts = [F.coalesce(F.aggregate("_found", F.lit(0), counted(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS]
-    return put.select(*[text.alias("text") if c == "text" else F.col(c) for c in named], *counts)
+    counts = [F.coalesce(F.aggregate("found", F.lit(0), counted(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS]
+    return put.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in named], *counts)

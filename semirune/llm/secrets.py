@@ -85,8 +85,8 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
 
     True secrets are random strings of usual lengths and alphabets beside names
     of secrets; false ones are hashes, ids, paths, identifiers, numbers,
-    versions and placeholders in the places where such stand. One prose word in
-    five contexts is foreign to both.
+    versions and placeholders in the places where such stand. The words around
+    both are drawn from DICTIONARY and letters alone, not from any table.
     """
     hexed = lambda k: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(k), "id"), 256)
     draw = lambda k, of: F.element_at(F.array(*[F.lit(x) for x in of]), (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(len(of))) + 1).cast("int"))
@@ -95,7 +95,9 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
     word = lambda k: draw(k, DICTIONARY)
     number = lambda k, digits: F.substring(F.conv(F.substring(hexed(k), 1, 15), 16, 10), 1, digits)
     camel = F.concat(word(1), F.initcap(word(2)), number("d", 1), F.initcap(word(3)), F.initcap(word(4)))
-    prose = draw(5, ["the ", "of this and ", "with la ", "in der ", "anor tion ", "", "is ", "as follows: "])
+    # A made-up word: letters of a hash, so that no language is known.
+    made = F.translate(F.substr(hexed("w"), F.lit(1), draw(34, [3, 4, 5, 7, 9])), "0123456789", "oitresugan")
+    prose = F.element_at(F.array(F.lit(""), F.concat(made, F.lit(" ")), F.concat(word(33), F.lit(" ")), F.concat(made, F.lit(" "), word(33), F.lit(" ")), F.concat(word(33), F.lit(": "))), draw(5, [1, 2, 2, 3, 4, 4, 5]))
     name = draw(6, ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "pwd"])
     setting = draw(7, [" = \"", "=", ": ", " = ", ":\"", "=\""])
     closing = F.when(setting.endswith("\""), "\"").otherwise("")
@@ -125,7 +127,7 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS, seed: int = SE
         (prose, F.concat_ws("-", word(1), F.lit("2023"), number("h", 2), word(2)), empty),
         (prose, F.concat(name, setting, draw(28, ["your-token-here-1", "xxxxxxxxxxxx1234", "changeme123", "example-key-0001", "<token-goes-here-1>", "dummy_password_1", "os.environ[1]", "get_token(user1)"])), closing),
         (F.concat(prose, word(1), F.lit(".")), number("i", 2), F.concat(F.lit("@"), word(2), F.lit(".example.com"))),
-        (F.concat(prose, F.lit("thaner@")), F.concat(word(1), number("k", 1), F.lit("-"), word(2)), F.lit(".example.com")),
+        (F.concat(prose, made, F.lit("@")), F.concat(word(1), number("k", 1), F.lit("-"), word(2)), F.lit(".example.com")),
         (prose, F.concat(F.lit("-"), F.repeat(word(1), 3), number("l", 1)), empty),
         (prose, F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), F.initcap(word(29))), draw(30, ["(", ".", " ", ","])),
         (prose, F.concat_ws("-", F.initcap(word(1)), F.initcap(word(2)), word(3), F.initcap(word(4)), word(29)), empty),
@@ -159,47 +161,63 @@ def as_expression(forest, f: Column) -> Column:
     return reduce(lambda a, b: a + b, roots) / len(roots)
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``findings`` to ``docs``: an array of (start, found, value, probability, is_secret) for each candidate of ``text``.
-
-    The forest is trained from ``findings`` (labelled_findings by default),
-    then scores each candidate within its row: one pass, no shuffle. ``start``
-    counts code points to the match. A null or empty text has no findings;
-    existing columns named findings are replaced, all others are kept.
-    """
+def _scanned(docs: DataFrame, findings: DataFrame | None, threshold: float) -> DataFrame:
+    """row (the columns of ``docs``), text, findings, and the text between candidates, null where there are none."""
     forest = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    kept = [c for c in docs.columns if c != "findings"]
     # Most texts have neither a digit, nor the name of a secret, nor a long run.
     may = F.col("text").rlike("[0-9]|(?i:token|secret|pass|pwd|key|auth)|[A-Za-z+/_-]{20}")
-    split = docs.select(*kept, F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("_found"))
-    split = split.select(*kept, F.when(F.size("_found") > 0, F.col("_found")).alias("_found"))
-    split = split.select(*kept, "_found", F.when(F.col("_found").isNotNull(), F.split("text", CANDIDATE, -1)).alias("_between"))
+    split = docs.select(F.struct("*").alias("row"), "text", F.when(may, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("found"))
+    split = split.select("row", "text", F.when(F.size("found") > 0, F.col("found")).alias("found"))
+    split = split.select("row", "text", "found", F.when(F.col("found").isNotNull(), F.split("text", CANDIDATE, -1)).alias("between"))
     at = lambda a, i: F.element_at(a, i + 1)
     context = F.transform(
-        "_found",
+        "found",
         lambda m, i: F.struct(
             m.alias("found"),
-            F.right(at(F.col("_between"), i), F.lit(CONTEXT)).alias("before"),
-            F.left(at(F.col("_between"), i + 1), F.lit(CONTEXT)).alias("after"),
-            (F.length(at(F.col("_between"), i)) + F.when(i > 0, F.length(F.element_at(F.col("_found"), F.greatest(i, F.lit(1))))).otherwise(0)).alias("step"),
+            F.right(at(F.col("between"), i), F.lit(CONTEXT)).alias("before"),
+            F.left(at(F.col("between"), i + 1), F.lit(CONTEXT)).alias("after"),
+            (F.length(at(F.col("between"), i)) + F.when(i > 0, F.length(F.element_at(F.col("found"), F.greatest(i, F.lit(1))))).otherwise(0)).alias("step"),
         ),
     )
-    split = split.select(*kept, context.alias("_context"))
-    scored = split.select(*kept, F.transform("_context", lambda c: F.struct(c["found"].alias("found"), c["step"].alias("step"), features(c["found"], c["before"], c["after"]).alias("f"))).alias("_scored"))
-    scored = scored.select(*kept, F.transform("_scored", lambda c: F.struct(c["found"].alias("found"), c["step"].alias("step"), as_expression(forest, c["f"]).alias("p"))).alias("_scored"))
-    item = lambda c, i: F.struct(
-        F.aggregate(F.slice("_scored", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["step"]).alias("start"),
-        c["found"].alias("found"),
-        value_of(c["found"]).alias("value"),
-        c["p"].alias("probability"),
-        (c["p"] >= threshold).alias("is_secret"),
-    )
+    split = split.select("row", "text", "between", context.alias("context"))
+    scored = split.select("row", "text", "between", F.transform("context", lambda c: F.struct(c["found"].alias("found"), c["step"].alias("step"), features(c["found"], c["before"], c["after"]).alias("f"))).alias("scored"))
+    scored = scored.select("row", "text", "between", F.transform("scored", lambda c: F.struct(c["found"].alias("found"), c["step"].alias("step"), as_expression(forest, c["f"]).alias("p"))).alias("scored"))
+    # Starts are running sums of steps, made in one pass.
+    item = lambda c, start: F.struct(start.alias("start"), c["found"].alias("found"), value_of(c["found"]).alias("value"), c["p"].alias("probability"), (c["p"] >= threshold).alias("is_secret"))
     empty = F.array().cast("array<struct<start:bigint,found:string,value:string,probability:double,is_secret:boolean>>")
-    return scored.select(*kept, F.coalesce(F.transform("_scored", item), empty).alias("findings"))
+    begun = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("items"))
+    added = lambda s, c: F.struct((s["at"] + c["step"]).alias("at"), F.concat(s["items"], F.array(item(c, s["at"] + c["step"]))).alias("items"))
+    blocks = F.aggregate("scored", begun, added, lambda s: s["items"])
+    return scored.select("row", "text", "between", F.coalesce(blocks, empty).alias("findings"))
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds ``findings`` to ``docs``: an array of (start, found, value, probability, is_secret) for each candidate of ``text``.
+
+    The forest is trained from ``findings`` (labelled_findings by default),
+    then scores each candidate within its row: one pass, no shuffle. ``start``
+    counts code points to the match. A null or empty text has no findings; a
+    text of any length is read whole, and a value has no longest length.
+    Repeated rows are scanned alike, candidates of equal probability keep the
+    order of the text, and an empty table gives none. An existing column
+    findings is replaced, all others are kept whatever their names.
+    """
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "findings"]
+    return _scanned(docs, findings, threshold).select(*kept, "findings")
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced by ``mark``; its columns and rows stay as they are."""
-    scanned = scan(docs, findings, threshold)
-    hidden = F.aggregate(F.filter("findings", lambda f: f["is_secret"]), F.col("text"), lambda t, f: F.replace(t, f["value"], F.lit(mark)))
-    return scanned.select(*[F.when(F.size("findings") > 0, hidden).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "findings"])
+    """``docs`` with every secret of ``text`` replaced by ``mark``; its columns and rows stay as they are.
+
+    Secrets are cut out where they were found, so the same letters within
+    other words stay; a candidate that is equal to a secret of the same text
+    goes with it. Null texts stay null, texts without secrets as they are, of
+    whatever length; repeated rows stay repeated, and an empty table is empty.
+    """
+    scanned = _scanned(docs, findings, threshold)
+    hidden = F.transform(F.filter("findings", lambda f: f["is_secret"]), lambda f: f["value"])
+    scanned = scanned.select("row", "text", "between", "findings", F.when(F.exists("findings", lambda f: f["is_secret"]), hidden).alias("hidden"))
+    put = lambda f: F.when(F.array_contains(F.col("hidden"), f["value"]), F.concat(F.left(f["found"], F.length(f["found"]) - F.length(f["value"])), F.lit(mark))).otherwise(f["found"])
+    ends = F.concat(F.transform("findings", put), F.array(F.lit("")))
+    text = F.when(F.col("hidden").isNotNull(), F.array_join(F.zip_with("between", ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
+    return scanned.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

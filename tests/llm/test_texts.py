@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from semirune.llm import chat, fingerprints, pii, quality, secrets
 
+from secret_cases import LINES
+
 
 # 1
 
@@ -109,7 +111,7 @@ def test_secrets(spark, docs, none):
             assert r.text[f.start : f.start + len(f.found)] == f.found and f.value in f.found
     both = secrets.redact(docs.withColumn("text", F.concat_ws(" ", "text", F.lit(SECRETS[0])))).collect()
     assert len(both) == docs.count() and all("9f8c7b6a" not in r.text and "[SECRET]" in r.text for r in both)
-    assert secrets.redact(docs).columns == [c for c in docs.columns if c != "findings"]
+    assert secrets.redact(docs).columns == docs.columns
     same = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert same[5] is None and same[4] == ""
     assert secrets.scan(none).count() == 0
@@ -141,6 +143,36 @@ def test_candidates_without_digits_or_limits(spark):
     assert all(got[i] == t for i, t in rows if i >= 13)
 
 
+def test_secrets_are_cut_out_where_they_stand(spark):
+    key = "aB3dE5fG7hJ9kL1mN3pQ"
+    rows = [
+        (1, 'server settings: password="s3rver" and the s3rver s3rver stay', "server settings: password=\"[SECRET]\" and the s3rver s3rver stay"),
+        (2, f"secret key {key} and again {key}", None),
+        (3, "q" * 70 + "1234567890abcdefXYZ is long", None),
+        (4, f"token = {key}" * 1, "token = [SECRET]"),
+        (5, "word " * 20_000 + f"token = {key}", "word " * 20_000 + "token = [SECRET]"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("row", "found", "between", "context", "scored", "hidden")})
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert all(got[i] == want for i, _, want in rows if want and i != 1)
+    assert got[1].endswith("and the s3rver s3rver stay")
+    assert key not in got[2]
+    scanned = {r.doc_id: r for r in secrets.scan(df.withColumn("findings", F.lit(1))).collect()}
+    assert scanned[3].findings[0].found.startswith("q" * 70 + "123") and scanned[1].found == 7
+    assert secrets.scan(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_secrets_on_lines_apart_from_the_training_rules(spark):
+    """The forest never sees these lines or the rules behind them; the README has the figures."""
+    df = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(LINES)], "doc_id long, text string")
+    hits = {r.doc_id: [f.found for f in r.findings if f.is_secret] for r in secrets.scan(df).collect()}
+    caught = [any(s in x for x in hits[i]) for i, (_, s) in enumerate(LINES) if s]
+    alarms = [bool(hits[i]) for i, (_, s) in enumerate(LINES) if not s]
+    assert sum(caught) / len(caught) >= 0.85 and sum(caught) / (sum(caught) + sum(alarms)) >= 0.85
+
+
 # 10
 
 
@@ -165,8 +197,8 @@ def test_pseudonyms(spark, docs, none):
     assert (got[1].n_card, got[1].n_phone, got[1].n_ssn, got[1].n_ip, got[1].n_date, got[1].n_email) == (2, 1, 1, 1, 2, 1)
     assert got[3].text is None and got[4].text == "" and got[4].n_card == 0
     assert pii.pseudonymise(df, "other key").first().text != new
-    assert {r.doc_id: r.text for r in pii.pseudonymise(docs).collect() if r.doc_id} == {r.doc_id: r.text for r in docs.collect() if r.doc_id}
-    assert pii.pseudonymise(none).count() == 0
+    assert {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect() if r.doc_id} == {r.doc_id: r.text for r in docs.collect() if r.doc_id}
+    assert pii.pseudonymise(none, "k").count() == 0
 
 
 def test_cards_beside_other_numbers(spark):
@@ -188,6 +220,48 @@ def test_cards_beside_other_numbers(spark):
     assert (got[92].n_phone, got[92].n_card) == (1, 0) and got[93].text == "2 4111111111111112"
 
 
+def test_long_names_and_all_dates(spark):
+    local = "ab.C9-" * 1700 + "x"
+    rows = [
+        (1, f"to {local}@example.com now"), (2, "1850-07-04 2150-12-24 0001-01-01 9999-12-31 31.12.1899 01/01/2100 0000-01-01 2100-02-29"), (3, "+1 743 555 3824.bob@example.com"), (4, "1-" * 60_000), (5, "--bob@example.com bob@example.com"),
+        (6, "a.b " * 30_000 + "bob@example.com"), (7, "1850-07-04"), (7, "1850-07-04"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(3) for c in ("row", "found", "put", "n_date")})
+    out = pii.pseudonymise(df, "key")
+    assert set(out.columns) == {*df.columns, *(f"n_{k}" for k in pii.KINDS)}
+    got = {r.doc_id: r for r in out.collect()}
+    new = got[1].text
+    assert new[3:].index("@") == len(local) and sum(a != b for a, b in zip(new[3:], local)) > 0.8 * 4 * 1700
+    assert re.sub(r"\w", "0", new) == re.sub(r"\w", "0", rows[0][1])
+    old, dates = rows[1][1].split(), got[2].text.split()
+    assert got[2].n_date == 6 and all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(old[:6], dates)) and dates[6:] == old[6:]
+    assert "bob" not in got[3].text and got[3].n_email == got[3].n_phone == 1
+    assert got[4].text == rows[3][1] and got[4].n_email == 0
+    one, other = got[5].text.split()
+    assert one == "--" + other and got[6].text.endswith(other) and got[6].n_email == 1
+    assert got[7].text == dates[0] and out.where("doc_id = 7").distinct().count() == 1
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
+def test_other_days_are_permuted(spark):
+    """Every tenth day of the calendar keeps its form, none meets another, and none leaves its range."""
+    days = spark.range(0, 3652059, 10).select(F.expr("date_format(date_add(DATE'0001-01-01', int(id)), 'yyyy-MM-dd')").alias("d"))
+    out = days.select("d", pii.date(F.col("d"), "k").alias("n"))
+    assert out.select("n").distinct().count() == out.count()
+    inside = lambda c: F.col(c).between("1900-01-01", "2099-12-31")
+    assert out.where("n IS NULL OR length(n) <> 10 OR try_to_date(n, 'yyyy-MM-dd') IS NULL").count() == 0 and out.where(inside("d") != inside("n")).count() == 0
+
+
+def test_session_key(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, "given")
+    assert pii.session_key(spark) == "given"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_permutations(spark):
     four = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d")).select(pii.permute_digits(F.col("d"), "k", "t").alias("p"))
     assert four.distinct().count() == 10_000
