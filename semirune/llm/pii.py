@@ -222,8 +222,9 @@ def date(m: Column, key: str) -> Column:
 
     def as_form(form: str) -> tuple[Column, Column]:
         day = F.try_to_date(m, form)
-        out = F.aggregate(F.array(moved(F.datediff(day, first))), F.lit(""), lambda _, x: F.date_format(F.date_add(first, x.cast("int")), form))
-        return day.isNotNull(), out
+        at = F.datediff(day, first)
+        out = F.aggregate(F.array(moved(at)), F.lit(""), lambda _, x: F.date_format(F.date_add(first, x.cast("int")), form))
+        return day.isNotNull() & (at >= -EARLIER), out
 
     iso, us, eu, dotted = map(as_form, ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"))
     return F.when(m.contains("-") & iso[0], iso[1]).when(m.contains("/") & us[0], us[1]).when(m.contains("/") & eu[0], eu[1]).when(m.contains(".") & dotted[0], dotted[1])
