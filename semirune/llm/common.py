@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder of spark.checkpoint.dir, which all executors share.
 
-    Only where the session names no such folder (tests on one machine) is a
-    temporary one set.
+    Where the session names no such folder a temporary one is set, but only if
+    driver and executors are one process; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from .common import checkpointed
 #: of all shares is the mean number of distinct terms of a document, so the
 #: lexicon has at most that mean / LOW terms, however many documents there are.
 LOW, HIGH = 0.01, 0.3
-#: Lexicons drawn, and how many bits thin each of them: a subset keeps one term in 2 ** bits.
-LEXICONS, BITS = 8, (5, 6, 7, 8)
+#: Lexicons drawn. Each is thinned by halves, the terms nearest to its seed staying longest.
+LEXICONS = 32
+SEEDS = [random.Random(f"lexicon {k}").getrandbits(64) - 2**63 for k in range(LEXICONS)]
 DIGITS = 8
 NONE = "-" * DIGITS
 
@@ -35,32 +38,37 @@ def _digits(hashed: Column) -> Column:
     return F.substring(F.lower(F.lpad(F.hex(hashed), 16, "0")), 1, DIGITS)
 
 
-def with_fingerprint(df: DataFrame, text: str, lexicon_terms: list[int], out: str) -> DataFrame:
-    """Adds ``out``: the hash of all lexicon terms of ``text``, then of each thinned lexicon's, DIGITS hex digits each.
+def _thinned(found: Column, seed: int) -> Column:
+    """Hash of the terms in the thinnest subset that has any: those that differ from the seed no sooner than the nearest does."""
+    apart = lambda t: F.shiftrightunsigned(t.bitwiseXOR(F.lit(seed).cast("long")), 1)
+    limit = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - F.length(F.bin(F.array_min(F.transform(found, apart)))))
+    # An array of one keeps the limit from being made again for each term.
+    return F.element_at(F.transform(F.array(limit), lambda most: _digits(F.xxhash64(F.filter(found, lambda t: apart(t) <= most)))), 1)
 
-    A subset none of whose terms occur gives dashes. A text without lexicon
-    terms has the hash of all its terms in the first place. Equal texts have
-    equal fingerprints; null counts as empty.
+
+def with_fingerprint(df: DataFrame, text: str, lexicon_terms: list[int], out: str) -> DataFrame:
+    """Adds ``out``: the hash of all lexicon terms of ``text``, then one hash for each randomised lexicon, DIGITS hex digits each.
+
+    A randomised lexicon is thinned again and again: a term is in its b-th
+    subset if the first b bits of its hash are those of the lexicon's seed. The
+    hash is of the terms of the text in the thinnest subset that has any. Most
+    often that is one term, so two texts agree in about as many lexicons as
+    their shared lexicon terms are of all terms of both. A text without lexicon
+    terms counts with all its terms, and one without terms has dashes after the
+    first place. Equal texts have equal fingerprints; null counts as empty.
     """
     df = df.withColumn("_all", terms(F.col(text)))
     known = ", ".join(f"{t}L" if t != -(2**63) else f"({t + 1}L - 1L)" for t in lexicon_terms)
-    df = df.withColumn("_in", F.expr(f"filter(_all, t -> t IN ({known}))") if lexicon_terms else F.slice("_all", 1, 0))
-    # Each lexicon reads its own byte of a term's hash; its thinner subsets are parts of the thicker ones.
-    own = lambda k, bits: lambda t: F.shiftrightunsigned(t, 8 * k).bitwiseAND(F.lit(2**bits - 1).cast("long")) == 0
-    df = df.select("*", *[F.filter("_in", own(k, BITS[0])).alias(f"_s{k}") for k in range(LEXICONS)])
-    parts = [_digits(F.xxhash64(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all"))))]
-    for k in range(LEXICONS):
-        subset: Column = F.col(f"_s{k}")
-        for bits in BITS:
-            subset = F.filter(subset, own(k, bits)) if bits != BITS[0] else subset
-            parts.append(F.when(F.size(subset) > 0, _digits(F.xxhash64(subset))).otherwise(NONE))
-    return df.withColumn(out, F.concat(*parts)).drop("_all", "_in", *[f"_s{k}" for k in range(LEXICONS)])
+    df = df.withColumn("_known", F.expr(f"filter(_all, t -> t IN ({known}))") if lexicon_terms else F.slice("_all", 1, 0))
+    df = df.withColumn("_in", F.when(F.size("_known") > 0, F.col("_known")).otherwise(F.col("_all")))
+    parts = [_digits(F.xxhash64("_in")), *[F.when(F.size("_in") > 0, _thinned(F.col("_in"), seed)).otherwise(NONE) for seed in SEEDS]]
+    return df.withColumn(out, F.concat(*parts)).drop("_all", "_known", "_in")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among those that either fingerprint has; 1.0 for equal fingerprints."""
     place = lambda c, i: F.substring(c, 1 + DIGITS * i, DIGITS)
-    n = 1 + LEXICONS * len(BITS)
+    n = 1 + LEXICONS
     same = sum((F.when((place(a, i) == place(b, i)) & (place(a, i) != NONE), 1).otherwise(0) for i in range(n)), F.lit(0))
     either = sum((F.when((place(a, i) != NONE) | (place(b, i) != NONE), 1).otherwise(0) for i in range(n)), F.lit(0))
     return same.cast("double") / either

@@ -17,12 +17,14 @@ BLOCK_WORDS = 256
 SHARD_BLOCKS = 4096
 BINS = 4096
 BUCKETS = 2048
+#: Slots that are written from one row, and by one task.
+SPAN, TASK_SLOTS = 256, 262_144
 SEED = 20
 
 
 @dataclass
 class Mix:
-    documents: DataFrame  #: doc_id, source, size, source_size, target, taken, _source, _start, _text
+    documents: DataFrame  #: doc_id, source, size, source_size, target, taken, _source, _start, _text, and _copy of _copies rows that are equal in doc_id, source and text
     pieces: DataFrame  #: _source, _start, block, word_from, words, uses: what each document has in each block
     slots: DataFrame  #: shard, _source, epoch, block: what each output shard holds
 
@@ -87,9 +89,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     before = counts.withColumn("_before", F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_words"))
     before = before.join(sources, before["source"].eqNullSafe(sources["source"])).select("_source", "source_size", "target", "_before", before["source"].alias("_name"), F.col("_bucket").alias("_b"))
     within = Window.partitionBy("source", "_bucket").orderBy("doc_id", "_text", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = narrow.withColumn("_within", F.sum("size").over(within) - F.col("size"))
+    alike = Window.partitionBy("source", "_bucket", "doc_id", "_text").orderBy("size")
+    copies = F.count("*").over(Window.partitionBy("source", "_bucket", "doc_id", "_text"))
+    placed = narrow.withColumn("_copy", F.row_number().over(alike)).withColumn("_copies", copies).withColumn("_within", F.sum("size").over(within) - F.col("size"))
     placed = placed.join(before, placed["source"].eqNullSafe(before["_name"]) & (placed["_bucket"] == before["_b"]))
-    placed = placed.select("doc_id", "source", "size", "_source", "source_size", "target", (F.col("_before") + F.col("_within")).alias("_start"), "_text")
+    placed = placed.select("doc_id", "source", "size", "_source", "source_size", "target", (F.col("_before") + F.col("_within")).alias("_start"), "_text", "_copy", "_copies")
 
     # Each slot draws a source by its quota; equal bins of the unit interval make the search an equi-join.
     drawn = spark.range(n).select(F.floor(F.col("id") / SHARD_BLOCKS).alias("shard"), F.floor(unit(F.lit(seed), F.lit(1), F.col("id")) * F.lit(float(n))).cast("long").alias("_at"))
@@ -103,7 +107,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     met = shares.groupBy(F.col("_source").alias("_s")).agg(F.max("_end").alias("_met"))
     settled = sources.join(met, sources["_source"] == met["_s"], "left").select("_source", F.lit(-(-n // SHARD_BLOCKS)).cast("long").alias("shard"), "_blocks", "_quota", F.coalesce("_met", F.lit(0)).cast("long").alias("_first"), F.col("_quota").alias("_end"))
     every = shares.unionByName(settled.where(F.col("_first") < F.col("_end")))
-    numbered = every.select("shard", "_source", "_blocks", F.explode(F.sequence("_first", F.col("_end") - 1)).alias("_number"))
+    # Few rows stand for many slots: they are cut into spans, which are dealt out before the slots are written and permuted.
+    span = F.lit(SPAN).cast("long")
+    spans = every.select("shard", "_source", "_blocks", "_end", F.explode(F.sequence("_first", F.col("_end") - 1, span)).alias("_from"))
+    spans = spans.repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_SLOTS)), "_source", "_from")
+    numbered = spans.select("shard", "_source", "_blocks", F.explode(F.sequence("_from", F.least(F.col("_from") + span, "_end") - 1)).alias("_number"))
     epoch = F.floor(F.col("_number") / F.col("_blocks"))
     block = keyed_permutation(F.pmod("_number", "_blocks"), F.col("_blocks"), F.lit(seed), F.lit(2), F.col("_source"), epoch)
     slots = numbered.select("shard", "_source", epoch.alias("epoch"), block.alias("block"))
@@ -119,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # A document that has words starts at a place of its own in its source's stream.
     taken = found.groupBy("_source", "_start").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
     documents = full.join(taken, ["_source", "_start"]).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return Mix(documents.select("doc_id", "source", "size", "source_size", "target", "taken", "_source", "_start", "_text"), found, slots)
+    return Mix(documents.select("doc_id", "source", "size", "source_size", "target", "taken", "_source", "_start", "_text", "_copy", "_copies"), found, slots)
 
 
 def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
@@ -127,23 +135,31 @@ def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
 
     The text has the words of all blocks that are used, in order, and after a
     newline those of the blocks that are used twice. White space after a word
-    stays with it. Texts are shuffled once; rows that are equal in doc_id and
-    text are told apart by their number.
+    stays with it. Texts are shuffled once; rows that are equal in doc_id,
+    source and text are told apart by number, each with its own share. Null
+    and empty texts have no words and go; an empty table gives no rows, and a
+    text of any length is cut as a whole. Columns may have any names.
     """
-    key = lambda text: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text.cast("string"))
-    each = mixed.pieces.where("uses > 0").groupBy("_source", "_start").agg(F.sort_array(F.collect_list(F.struct("word_from", "words", "uses"))).alias("_pieces"))
-    each = each.join(mixed.documents.where("taken > 0"), ["_source", "_start"])
-    plans = each.groupBy(key(F.col("_text")).alias("_plan_key")).agg(F.sort_array(F.collect_list(F.struct("_start", "_pieces"))).alias("_plans"))
-    keyed = docs.withColumn("_key", key(F.xxhash64("text")))
-    joined = keyed.join(plans, F.col("_key") == F.col("_plan_key"))
-    joined = joined.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where(F.col("_number") <= F.size("_plans"))
-    joined = joined.withColumn("_mine", F.element_at("_plans", F.col("_number"))["_pieces"])
-    joined = joined.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    def key(doc_id: str, text: Column, source: str) -> Column:
+        parts = [F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text.cast("string"), F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source)))]
+        return F.concat_ws("|", *parts)
+
+    each = mixed.pieces.where("uses > 0").groupBy("_source", "_start").agg(F.sort_array(F.collect_list(F.struct("word_from", "words", "uses"))).alias("pieces"))
+    each = mixed.documents.where("taken > 0").join(each, ["_source", "_start"], "left")
+    each = each.select(key("doc_id", F.col("_text"), "source").alias("of"), F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), "pieces")
+    rows = docs.select(F.struct("*").alias("row"), key("doc_id", F.xxhash64("text"), "source").alias("key"))
+    single = rows.join(each.where("copies = 1"), F.col("key") == F.col("of")).select("row", "pieces")
+    # Rows that repeat read the same shuffle of texts, and only they are numbered.
+    repeated = each.where("copies > 1")
+    again = rows.join(repeated.groupBy(F.col("of").alias("repeated")).agg(F.max("copies")).select("repeated"), F.col("key") == F.col("repeated"))
+    again = again.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    again = again.join(repeated, (F.col("key") == F.col("of")) & (F.col("number") == F.col("copy"))).select("row", "pieces")
+    joined = single.unionByName(again).withColumn("words", F.regexp_extract_all("row.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
 
     def used(times: int) -> Column:
-        parts = F.filter("_mine", lambda p: p["uses"] >= times)
-        return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice("_words", (p["word_from"] + 1).cast("int"), p["words"].cast("int")), "")), "")
+        parts = F.filter("pieces", lambda p: p["uses"] >= times)
+        return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice("words", (p["word_from"] + 1).cast("int"), p["words"].cast("int")), "")), "")
 
-    again = F.when(F.exists("_mine", lambda p: p["uses"] > 1), F.concat(F.lit("\n"), used(2))).otherwise("")
+    again = F.when(F.exists("pieces", lambda p: p["uses"] > 1), F.concat(F.lit("\n"), used(2))).otherwise("")
     text = F.concat(used(1), again)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

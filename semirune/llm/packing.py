@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import unicodedata
 import zlib
@@ -33,25 +35,49 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
 
 
+#: How the tokenizer normalises and splits that the word-by-word way below stands for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer's description is one that Encoder may read word by word."""
+    normal, split, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = split.get("pretokenizers") or [{}, {}]
+    return (
+        normal.get("normalizers") == NORMALIZERS
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": SPLIT}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and (steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == (False, False)
+        and (model.get("type"), model.get("dropout")) == ("BPE", None)
+        and all(x["content"].startswith("<|") for x in spec.get("added_tokens") or [])
+        and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+    )
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode``.
 
-    The tokenizer never joins across white space, so in plain Latin text each
-    word's ids are looked up, or found once by the tokenizer's own model. Any
-    other text goes through ``encode`` as it is.
+    A tokenizer of the form that ``by_words`` knows never joins across white
+    space, so in plain Latin text each word's ids are looked up, or found once
+    by the tokenizer's own model. Any other text, and every text of another
+    tokenizer, goes through ``encode`` as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if not self.by_words or "<|" in text or not PLAIN.fullmatch(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return b"".join(x.to_bytes(4, "little") for x in ids)
         known = self.words
@@ -198,7 +224,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_tokens: int
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    # At most one interval for each length of a pattern: a few thousand rows, whatever the input.
+    # A length ends at most one pattern and splits at most one, so there are at most 2 * max_tokens patterns; the different
+    # lengths of one add up to max_tokens, so they are under sqrt(2 * max_tokens): 262,144 rows of six numbers for 2048, whatever the input.
+    if len(rows) > 2 * max_tokens * math.isqrt(2 * max_tokens):
+        raise AssertionError("more intervals than patterns can have")
     where = F.broadcast(literal_rows(spark, rows, "length long, low long, high long, first long, packs long, offset long"))
     placed = ranked.join(where, (ranked["length"] == where["length"]) & (ranked["_rank"] >= where["low"]) & (ranked["_rank"] < where["high"]))
     at = F.col("_rank") - F.col("low")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,40 +64,40 @@ def shard(docs: DataFrame, keys: list[str], shards: int = 16, seed: int = SEED)
 
     The law is ``rows``: shard sizes differ by one row at most, and each
     assignment that has these sizes is equally likely. Rows are dealt into
-    partitions by a hash of ``keys``; the matrix of exact partition-to-shard
-    counts is drawn on the driver (partitions times shards numbers: 4096
-    partitions at most); each partition is permuted, its rows go to the shards
-    in runs of the drawn lengths, and each shard is permuted again. Permuting
-    is ordering by keyed hashes; equal rows are interchangeable. Equal texts
-    need not meet: with a group above a shard's size they could not.
+    partitions by a hash of ``keys`` and of their place in the table; the
+    matrix of exact partition-to-shard counts is drawn on the driver
+    (partitions times shards numbers: 4096 partitions at most); each partition
+    is permuted, its rows go to the shards in runs of the drawn lengths, and
+    each shard is permuted again. Permuting is ordering by keyed hashes.
 
-    Null keys are hashed as nulls. An empty table gives no rows.
+    Places are fixed by a checkpoint first, so rows that repeat, however many,
+    are dealt apart like any others, and no key makes a task large; the same
+    files read in the same splits give the same result. Equal texts need not
+    meet: with a group above a shard's size they could not. Null keys are
+    hashed as nulls, texts aren't looked at, and an empty table gives no rows.
+    Columns may have any names; shard and slot are replaced.
     """
     spark = docs.sparkSession
-    own = [F.col(k) for k in keys]
-    n = docs.count()
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = checkpointed(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")))
+    own = [*[F.col("row")[k] for k in keys], F.col("place")]
+    n = placed.count()
     partitions = min(MOST_PARTITIONS, max(PARTITIONS, -(-n // PARTITION_ROWS)))
-    dealt = docs.withColumn("_partition", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(partitions)).cast("int")).withColumn("_order", F.xxhash64(F.lit(seed + 1), *own))
-    counts = {r["_partition"]: r["n"] for r in dealt.groupBy("_partition").agg(F.count("*").alias("n")).collect()}
+    dealt = placed.withColumn("partition", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(partitions)).cast("int")).withColumn("order", F.xxhash64(F.lit(seed + 1), *own))
+    counts = {r["partition"]: r["n"] for r in dealt.groupBy("partition").agg(F.count("*").alias("n")).collect()}
     sizes = [n // shards + (j < n % shards) for j in range(shards)]
     ids = sorted(counts)
     matrix = communication_matrix([counts[i] for i in ids], sizes, seed)
-    runs = []
-    for i, line in zip(ids, matrix):
-        ends, end = [], 0
-        for k in line:
-            end += k
-            ends.append(end)
-        runs.append({"_partition": i, "_ends": ends})
-    ends = F.broadcast(literal_rows(spark, runs, "_partition int, _ends array<long>"))
-    rank = F.row_number().over(Window.partitionBy("_partition").orderBy("_order", *own)) - 1
-    sent = dealt.withColumn("_rank", rank).join(ends, "_partition")
-    sent = sent.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
+    runs = [{"of": i, "ends": list(accumulate(line))} for i, line in zip(ids, matrix)]
+    # A row for each partition, 4096 at most.
+    ends = F.broadcast(literal_rows(spark, runs, "of int, ends array<long>"))
+    rank = F.row_number().over(Window.partitionBy("partition").orderBy("order", "place")) - 1
+    sent = dealt.withColumn("rank", rank).join(ends, F.col("partition") == F.col("of"))
     again = F.xxhash64(F.lit(seed + 2), *own)
-    sent = sent.withColumn("_again", again).withColumn("_bucket", F.shiftrightunsigned("_again", 64 - int(math.log2(BUCKETS)))).drop("_partition", "_order", "_rank", "_ends")
-    sent = checkpointed(sent)
-    held = sent.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = held.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_again", *own)) - 1
-    out = sent.withColumn("_inside", inside).join(before, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_inside"))
-    return out.select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    sent = sent.select("row", "place", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"), again.alias("again"))
+    sent = checkpointed(sent.withColumn("bucket", F.shiftrightunsigned("again", 64 - int(math.log2(BUCKETS)))))
+    held = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = held.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("again", "place")) - 1
+    out = sent.withColumn("inside", inside).join(before, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "shard", (F.col("before") + F.col("inside")).alias("slot"))

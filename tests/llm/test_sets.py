@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from conftest import prose
 from pyspark.sql import functions as F
 
 from semirune.llm import graph, mixing, ngram_join, packing, queries, sharding, topk
@@ -93,6 +94,32 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_patterns_of_one_length():
+    packs = lambda histogram: sum(n for n, _ in packing.patterns(histogram, 2048))
+    assert packs({600: 1000}) == 334 and packs({512: 100}) == 25 and packs({1: 1000}) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_other_tokenizers(spark, name, tmp_path):
+    """A tokenizer of another form, and one whose file differs in a step, are read by their own rules."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    other = tmp_path / name
+    other.write_text(json.dumps(spec))
+    texts = ["Hello World, It is 12 Days", "Éa  b\tC", "", None]
+    for p in (path, str(other)):
+        t = Tokenizer.from_file(p)
+        want = Counter(zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [7], "<u4").tobytes()) for x in texts)
+        rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p, 64, 7).collect()
+        assert Counter(r.ids_crc32 for r in rows) == want
+
+
 # 4
 
 
@@ -147,6 +174,22 @@ def test_mixed_texts(docs):
     assert +taken == +got
 
 
+def test_mix_of_repeated_rows(spark):
+    """Copies of a row have shares of their own; columns may have the names that the operator uses."""
+    rows = [(7, "a", prose(1, 90))] * 40 + [(8, None, prose(2, 50)), (None, "b", prose(3, 70)), (None, "b", prose(3, 70)), (9, "a", None), (9, "a", ""), (10, "b", "w " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(i) for i, c in enumerate(("row", "key", "number", "pieces", "words", "copy", "of"))})
+    mixed = mixing.mix(df, block_words=16)
+    out = mixing.mixed_documents(df, mixed)
+    assert out.columns == df.columns
+    taken, got = defaultdict(Counter), defaultdict(Counter)
+    for r in mixed.documents.where("taken > 0").collect():
+        taken[r.doc_id][r.taken] += 1
+    for r in out.collect():
+        got[r.doc_id][len(WORD.findall(r.text))] += 1
+    assert taken == got and sum(taken[7].values()) > 20
+    assert mixing.mixed_documents(df.limit(0), mixing.mix(df.limit(0))).count() == 0
+
+
 def test_keyed_permutation(spark):
     for n in (1, 2, 3, 5, 16, 17, 100, 999):
         rows = spark.range(n).select(keyed_permutation(F.col("id"), F.lit(n).cast("long"), F.lit(1)).alias("p")).collect()
@@ -170,6 +213,16 @@ def test_sharding(docs, none):
     assert sharding.shard(none.select("doc_id"), ["doc_id"]).count() == 0
 
 
+def test_sharding_deals_repeated_rows_apart(spark):
+    df = spark.range(0, 20_000, 1, 4).select(F.lit(5).alias("doc_id"), F.lit(None).cast("string").alias("place"), F.lit(1).alias("order"), F.lit(2).alias("row"))
+    out = sharding.shard(df, ["doc_id", "place"])
+    assert out.columns == [*df.columns, "shard", "slot"]
+    assert [r["count"] for r in out.groupBy("shard").count().collect()] == [1250] * 16
+    # The deal itself: no partition of the first round has many more rows than another.
+    dealt = df.withColumn("at", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64(F.lit(sharding.SEED), "doc_id", "place", "at"), F.lit(sharding.PARTITIONS))).count()
+    assert dealt.count() == sharding.PARTITIONS and dealt.agg(F.max("count")).first()[0] < 2 * 20_000 / sharding.PARTITIONS
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([10, 0, 7, 23], [14, 13, 13], 1)
     assert [sum(r) for r in m] == [10, 0, 7, 23] and [sum(c) for c in zip(*m)] == [14, 13, 13]
