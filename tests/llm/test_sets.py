@@ -255,12 +255,31 @@ def test_ball_tree_prunes():
     centres = rng.normal(size=(20, 16)) * 50
     points = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(size=(4000, 16)))
     s = topk.Search(points[:10], np.arange(10), 20)
-    tree = topk.BallTree(points)
-    s.visit(tree, tree.root, np.arange(10), np.arange(4000))
+    tree = topk.BallTree(points, np.arange(4000), 20)
+    s.visit(tree, tree.root, np.arange(10))
     assert s.scored < 10 * 4000 / 2
     full = points[:10] @ points.T
     np.fill_diagonal(full, -np.inf)
     assert (s.scores == -np.sort(-full, axis=1)[:, :20]).all()
+    # Of equal points no more than k + 1 are scored, however many there are.
+    same = topk.BallTree(np.ones((5000, 4)), np.arange(5000), 20)
+    s = topk.Search(np.ones((3, 4)), np.arange(3), 20)
+    s.visit(same, same.root, np.arange(3))
+    assert s.scored == 3 * 21 and s.found[1].tolist() == [0, *range(2, 21)]
+
+
+def test_top_k_of_large_numbers(spark):
+    """Beyond 2 ** 53 scores stay exact; what may not fit 64 bits raises."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-(10**8), 10**8) for _ in range(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=64).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = [(q, i + 1, c, -s) for q in range(0, 300, 50) for i, (s, c) in enumerate(sorted((-dot(rows[q][1], v), c) for c, v in rows if c != q)[:5])]
+    assert sorted(map(tuple, got)) == sorted(want) and max(s for *_, s in want) > 2**53
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(1, [2**40, 5]), (2, [2**40, 6])], "vec_id long, v array<long>"), F.lit(True)).collect()
+    assert topk.top_k(spark.createDataFrame([(0, []), (20, []), (21, [])], "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0).count() == 4
 
 
 # 8
