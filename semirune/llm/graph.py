@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph of any size."""
+"""Connected components of an undirected graph of any size, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: A key is heavy if it has more than this many rows and more than this share of all.
+LIGHT, HEAVY_PART = 256, 1000
+
+
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, name: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` by ``key`` with ``groups``, one row for each ``name``, whose column ``n`` says how many rows it has.
+
+    Groups of more than total / HEAVY_PART rows, of which there are HEAVY_PART
+    at most, are broadcast, so their rows stay where they are; the others meet
+    by a shuffle, in which no key has more rows than that. ``n`` is dropped.
+    """
+    most = max(LIGHT, total // HEAVY_PART)
+    if total <= most:  # no key can be heavy
+        return rows.join(groups.drop(n), F.col(key) == F.col(name))
+    heavy, light = groups.where(F.col(n) > most).drop(n), groups.where(F.col(n) <= most).drop(n)
+    hot = rows.join(F.broadcast(heavy), F.col(key) == F.col(name))
+    cold = rows.join(F.broadcast(heavy.select(F.col(name).alias("_heavy"))), F.col(key) == F.col("_heavy"), "left_anti")
+    return hot.unionByName(cold.join(light, F.col(key) == F.col(name)))
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -17,8 +36,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each one grouping and one join,
     until the edges are stars: a number of rounds that grows with the logarithm
-    of the graph's size. Loops and repeated edges do no harm; null ends are
-    left out.
+    of the graph's size. The edges of a hub meet its minimum by a broadcast of
+    the heavy nodes' minima alone, so they are never one task. Loops and
+    repeated edges do no harm; null ends are left out.
     """
     now = checkpointed(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -27,14 +47,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+        total = 2 * state[0]
         # Large star: each node hands its larger neighbours to the smallest of its neighbours and itself.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("d")).select("n", F.least("n", "m").alias("m"), "d")
+        large = join_groups(both.where("b > a"), "a", least, "n", "d", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: each node hands its smaller neighbours and itself to the smallest of them.
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        moved = large.join(lowest, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        lowest = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("d"))
+        moved = join_groups(large, "a", lowest, "n", "d", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = checkpointed(moved.where("a <> b").distinct())
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")

@@ -12,25 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .graph import components
+from .graph import components, join_groups
 
 N_WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-MOST_HASHES = 144
+#: Hashes of a signature, where the recall can be had with as many.
+HASHES = 144
 #: Documents of one side of a verification task.
 BLOCK = 512
+#: A candidate component of more blocks than this is compared band by band.
+MOST_BLOCKS = 24
 SEED = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """The most rows a band may have so that few enough bands find a pair at ``threshold`` with probability ``recall``."""
-    best = (most, 1)
-    for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
-        if bands * rows <= most:
-            best = (bands, rows)
+def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
+    """The most rows a band may have so that few enough bands find a pair at ``threshold`` with probability ``recall``.
+
+    Where not even bands of one row do with ``most`` hashes, there are as many bands of one as the recall takes.
+    """
+    need = lambda rows: math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+    best = (need(1), 1)
+    for rows in range(2, most + 1):
+        if need(rows) * rows <= most:
+            best = (need(rows), rows)
     return best
 
 
@@ -163,6 +169,9 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     linked = similar(list(mine["shingles"]), list(theirs["shingles"]), threshold)
     if within:
         np.fill_diagonal(linked, False)
+    # A pair that meets in several bands counts in the first of them.
+    for j in range(int(group["band"].iloc[0])):
+        linked &= np.array([x[j] for x in mine["bands"]])[:, None] != np.array([x[j] for x in theirs["bands"]])[None, :]
     links = pd.Series(0, index=group["text_key"])
     links[mine["text_key"]] += linked @ theirs["copies"].to_numpy()
     if not within:
@@ -186,7 +195,13 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"text_key": keys[some], "links": links.to_numpy()[some], "joined": keys[label][some]}).astype({"text_key": object, "joined": object})
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A row for each task that a text is in: each two blocks of what ``task`` names."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("other", other).select("text_key", "task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "bands", "copies", "shingles")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, text_key, class_id, copies, n_links, group_id, component for every row of ``docs`` (doc_id, text).
 
     Rows of equal text are a class (class_id: the smallest doc_id; copies: how
@@ -202,46 +217,71 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     with its full n-gram set, to the task that compares the component; a large
     component is split into blocks and each two blocks are a task. So no task
     outgrows 2 * ``block`` texts, pairs are never written as rows, and no link
-    within a component is missed.
+    within a component is missed. A component of over ``most_blocks`` blocks,
+    as chance chains make in a large corpus, is compared band by band: only
+    texts that share a band hash meet, in blocks again, and each pair counts in
+    the first band that it shares. So the work is that of the buckets, not of
+    the square of the component.
 
     Null and empty texts, and texts without words, are linked only to equal
-    texts; a text of under five words has one run. Null doc_ids are kept and
-    never name a class unless all are null. Repeated rows count as copies.
+    texts; a text of under five words has one run, a long one as many as it
+    has words. Null doc_ids are kept and never name a class unless all are
+    null. Repeated rows count as copies. Other columns are not looked at, and
+    an empty table gives no rows. Groups with many rows are joined by
+    broadcasts of theirs alone, so no text, bucket or component is one task.
     """
     bands, rows = bands_and_rows(threshold, recall)
     own = checkpointed(banded(docs, bands, rows))
+    n = own.count()
     classes = own.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = checkpointed(classes)
     buckets = classes.select("text_key", F.explode(F.array_distinct("bands")).alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("text_key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    met = components(buckets.join(hubs, "bucket").where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b")))
+    hubs = buckets.groupBy(F.col("bucket").alias("of")).agg(F.min("text_key").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = components(join_groups(buckets, "bucket", hubs, "of", "n", n * bands).where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b")))
     met = checkpointed(met.select(F.col("node").alias("text_key"), "component"))
-    sizes = met.groupBy(F.col("component").alias("_component")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = met.join(sizes, F.col("component") == F.col("_component")).drop("_component")
-    members = members.join(classes.select(F.col("text_key").alias("_key"), "class_id", "copies"), F.col("text_key") == F.col("_key")).drop("_key")
-    members = members.withColumn("block", F.pmod(F.xxhash64("text_key", F.lit(SEED)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), "text")
-    full = members.join(texts, (F.col("text_key") == F.col("_key")) & F.col("class_id").eqNullSafe(F.col("_id")))
-    full = shingle_sets(full.select("text_key", "component", "blocks", "block", "copies", word_hashes(F.col("text")).alias("words")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = full.withColumn("_other", other).select("text_key", "component", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "copies", "shingles")
-    found = tasks.groupBy("component", "low", "high").applyInPandas(lambda g: _verify(g, threshold), "text_key string, links long, joined string")
+    sizes = met.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = join_groups(met, "component", sizes, "of", "n", n).drop("of")
+    members = members.join(classes.select(F.col("text_key").alias("key"), "class_id", "copies", "bands"), F.col("text_key") == F.col("key")).drop("key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
+
+    def with_sets(some: DataFrame) -> DataFrame:
+        both = some.join(texts, (F.col("text_key") == F.col("key")) & F.col("class_id").eqNullSafe(F.col("id")))
+        return shingle_sets(both.select("text_key", "component", "blocks", "copies", "bands", word_hashes(F.col("text")).alias("words")))
+
+    own_block = lambda of: F.pmod(F.xxhash64("text_key", F.lit(SEED)), F.col(of)).cast("int")
+    none = F.lit(None).cast("array<long>")
+    narrow = with_sets(members.where(F.col("blocks") <= most_blocks).withColumn("bands", none))
+    tasks = _blocks(narrow.withColumn("block", own_block("blocks")).withColumn("band", F.lit(0)).withColumnRenamed("component", "task"))
+    if not members.where(F.col("blocks") > most_blocks).isEmpty():
+        wide = checkpointed(with_sets(members.where(F.col("blocks") > most_blocks)))
+        each = wide.select("text_key", F.posexplode("bands").alias("band", "bucket"))
+        crowds = each.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+        each = join_groups(each, "bucket", crowds, "of", "n", n * bands).select(F.col("text_key").alias("key"), "band", "bucket", "parts")
+        met_in = wide.join(each, F.col("text_key") == F.col("key")).drop("blocks").withColumnRenamed("parts", "blocks")
+        tasks = tasks.unionByName(_blocks(met_in.withColumn("block", own_block("blocks")).withColumn("task", F.concat(F.lit("band "), F.col("bucket").cast("string")))))
+    found = tasks.groupBy("task", "low", "high").applyInPandas(lambda g: _verify(g, threshold), "text_key string, links long, joined string")
     found = checkpointed(found)
     joined = components(found.select(F.col("text_key").alias("a"), F.col("joined").alias("b")))
-    links = found.groupBy(F.col("text_key").alias("_linked")).agg(F.sum("links").alias("links"))
-    named = classes.select("text_key", "class_id", "copies").join(joined, F.col("text_key") == F.col("node"), "left").join(links, F.col("text_key") == F.col("_linked"), "left")
-    named = named.withColumn("component", F.coalesce("component", "text_key"))
-    least = named.groupBy(F.col("component").alias("_c")).agg(F.min("class_id").alias("group_id"))
-    named = named.join(least, F.col("component") == F.col("_c")).select(F.col("text_key").alias("_key"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group_id", "component")
-    return own.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("_key")).drop("_key")
+    links = found.groupBy(F.col("text_key").alias("linked")).agg(F.sum("links").alias("links"))
+    named = classes.select("text_key", "class_id", "copies").join(joined, F.col("text_key") == F.col("node"), "left").join(links, F.col("text_key") == F.col("linked"), "left")
+    named = checkpointed(named.select("text_key", "class_id", "copies", F.coalesce("component", "text_key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    least = named.groupBy(F.col("component").alias("of")).agg(F.min("class_id").alias("group_id"), F.count("*").alias("n"))
+    named = join_groups(named, "component", least, "of", "n", n)
+    named = named.select(F.col("text_key").alias("key"), "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "group_id", "component", F.col("copies").alias("n"))
+    return join_groups(own.select("doc_id", "text_key"), "text_key", named, "key", "n", n).drop("key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id, a null one only if all are; among rows that repeat it, one."""
+    """``docs`` with one row of each group: that of the smallest doc_id, a null one only if all are; among rows that repeat it, one.
+
+    Texts that are like no other stay, null, empty and very long ones too, with
+    all columns, whatever their names. An empty table is empty.
+    """
     named = near_classes(docs, threshold, recall)
-    best = named.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id", "component").agg(F.min("text_key").alias("_kept_key"), F.count("*").alias("_repeats"))
-    best = checkpointed(best.select(F.col("group_id").alias("_kept_id"), "_kept_key", "_repeats"))
-    kept = docs.withColumn("_key", text_key()).join(best, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")))
-    single = kept.where("_repeats = 1").select(*docs.columns)
-    repeated = kept.where("_repeats > 1").dropDuplicates(["_kept_id", "_kept_key"]).select(*docs.columns)
+    best = named.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id", "component").agg(F.min("text_key").alias("kept_key"), F.count("*").alias("repeats"))
+    best = checkpointed(best.select(F.col("group_id").alias("kept_id"), "kept_key", "repeats"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    kept = rows.join(best, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    single = kept.where("repeats = 1").select("row.*")
+    repeated = kept.where("repeats > 1").dropDuplicates(["kept_id", "kept_key"]).select("row.*")
     return single.unionByName(repeated)

@@ -311,10 +311,11 @@ def brute_links(rows, threshold=0.8):
     return Counter((r.doc_id, links[i], least[find(i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_near_classes(docs, none, block):
+@pytest.mark.parametrize(("block", "most_blocks"), [(512, 24), (2, 24), (2, 1), (1, 0)])
+def test_near_classes(docs, none, block, most_blocks):
+    """With small blocks, and by components or by bands."""
     rows = docs.select("doc_id", "text").collect()
-    got = ngram_join.near_classes(docs, block=block).collect()
+    got = ngram_join.near_classes(docs, block=block, most_blocks=most_blocks).collect()
     assert Counter((r.doc_id, r.n_links, r.group_id) for r in got) == brute_links(rows)
     assert ngram_join.near_classes(none).count() == 0
 
@@ -335,9 +336,31 @@ def test_keep_one_of_each_group_whatever_its_ids(spark):
     assert got == Counter([first, (None, text(1)), (None, text(2)), (None, ""), (7, text(3)), (7, text(4)), (8, text(5)), (8, text(6))])
 
 
-def test_bands():
-    bands, rows = ngram_join.bands_and_rows()
-    assert bands * rows <= ngram_join.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
+def test_near_classes_of_a_large_group(spark):
+    """A group of many near and exact copies, in which each text has the same links by either way; heavy keys are broadcast."""
+    base = prose(77, 200).split()
+    texts = [" ".join([*base, f"end{i % 300}"]) for i in range(900)] + [prose(500 + i, 30) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, most_blocks in ((512, 24), (64, 2)):
+        got = ngram_join.near_classes(df, block=block, most_blocks=most_blocks).collect()
+        assert all((r.n_links, r.group_id, r.copies) == ((899, 0, 3) if r.doc_id < 900 else (0, r.doc_id, 1)) for r in got), (block, got[:3])
+
+
+@pytest.mark.parametrize("threshold", [0.02, 0.3, 0.8, 0.95])
+def test_bands(threshold):
+    bands, rows = ngram_join.bands_and_rows(threshold)
+    assert 1 - (1 - threshold**rows) ** bands >= ngram_join.RECALL
+    assert threshold < 0.1 or bands * rows <= ngram_join.HASHES
+
+
+def test_join_groups(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 700).alias("k"), "id")
+    groups = rows.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"), F.max("id").alias("most")).where("of % 3 <> 1")
+    got = graph.join_groups(rows, "k", groups, "of", "n", 3000)
+    want = rows.join(groups, F.col("k") == F.col("of")).drop("n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    # Only the one heavy key is broadcast.
+    assert groups.where(F.col("n") > graph.LIGHT).count() == 1
 
 
 def test_components(spark):
