@@ -21,10 +21,10 @@ def join_groups(rows: DataFrame, key: str, groups: DataFrame, name: str, n: str,
     most = max(LIGHT, total // HEAVY_PART)
     if total <= most:  # no key can be heavy
         return rows.join(groups.drop(n), F.col(key) == F.col(name))
-    heavy, light = groups.where(F.col(n) > most).drop(n), groups.where(F.col(n) <= most).drop(n)
-    hot = rows.join(F.broadcast(heavy), F.col(key) == F.col(name))
-    cold = rows.join(F.broadcast(heavy.select(F.col(name).alias("_heavy"))), F.col(key) == F.col("_heavy"), "left_anti")
-    return hot.unionByName(cold.join(light, F.col(key) == F.col(name)))
+    heavy = groups.where(F.col(n) > most).drop(n)
+    tagged = rows.join(F.broadcast(heavy), F.col(key) == F.col(name), "left")
+    light = tagged.where(F.col(name).isNull()).select(*rows.columns).join(groups.where(F.col(n) <= most).drop(n), F.col(key) == F.col(name))
+    return tagged.where(F.col(name).isNotNull()).unionByName(light)
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Lengths of the n-grams of bytes, and bits of the table that they are hashed into.
 GRAMS, TABLE_BITS = (1, 2, 3, 4), 18
 #: Labelled documents that the model is fitted on, at most.
-MAX_FIT = 6000
+MAX_FIT = 4000
 FOLDS = 3
 THRESHOLD = 0.3
 SEED = 2
