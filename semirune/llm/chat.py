@@ -130,8 +130,11 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     text is one text part, and a null one an empty part. Turns go by turn, nulls
     first; equal turns go by role, then content. A null role is written as an
     empty one. Rows with a null conv_id are one conversation; repeated rows are
-    turns of their own. Returns conv_id, formatted, mask (character ranges of
-    assistant text), attachments and expanded_tokens.
+    turns of their own. A conversation is one row of the output, whose text no
+    machine can split, so it is also gathered as one; texts of any length are
+    whole. Returns conv_id, formatted, mask (character ranges of assistant
+    text), attachments and expanded_tokens; other columns are not looked at,
+    and an empty table gives no rows.
     """
     content = F.col("parts").cast(f"array<{PART}>") if "parts" in conversations.columns else F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("amount")))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), content.alias("parts")).alias("_turn"))

@@ -186,7 +186,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """Adds score and predicted to ``docs`` by its column text; columns of these names are replaced.
 
     A null text counts as empty, which has the score of a document without
-    n-grams. Whole texts are read; nothing but the text is an input.
+    n-grams. Whole texts are read, however long; nothing but the text is an
+    input, so repeated rows and equal texts have equal scores. An empty table
+    is empty; other columns are kept, whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a table of fixed size
@@ -206,5 +208,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted, by a model learned from ``labels`` (doc_id, quality)."""
+    """``docs`` with score (0 to 1) and predicted, by a model learned from ``labels`` (doc_id, quality).
+
+    Without usable labels, or with those of one class, the score is that
+    class's smoothed share. For what else is defined see learn and score.
+    """
     return score(docs, learn(docs, labels, max_fit), threshold)
