@@ -99,5 +99,6 @@ def shard(docs: DataFrame, keys: list[str], shards: int = 16, seed: int = SEED)
     held = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = held.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("again", "place")) - 1
-    out = sent.withColumn("inside", inside).join(before, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
+    # A row for each shard and bucket: shards times BUCKETS, whatever the input.
+    out = sent.withColumn("inside", inside).join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "shard", (F.col("before") + F.col("inside")).alias("slot"))
