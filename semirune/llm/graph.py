@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 
 #: A key is heavy if it has more than this many rows and more than this share of all.
 LIGHT, HEAVY_PART = 256, 1000
@@ -57,6 +57,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("d"))
         moved = join_groups(large, "a", lowest, "n", "d", total).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = checkpointed(moved.where("a <> b").distinct())
+        tidy(now.sparkSession)
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keyed_permutation
+from .common import checkpointed, keyed_permutation, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     narrow = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("_text"))
     narrow = narrow.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_text", F.lit(seed)), F.lit(BUCKETS)))
     narrow = checkpointed(narrow)
+    tidy(spark)
     counts = checkpointed(narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")))
     sources = targets(counts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share)
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
@@ -104,6 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     shares = shares.withColumn("_first", F.sum("_n").over(Window.partitionBy("_source").orderBy("shard")) - F.col("_n"))
     shares = shares.select("_source", "shard", "_blocks", "_quota", "_first", F.least(F.col("_first") + F.col("_n"), F.col("_quota")).alias("_end"))
     shares = checkpointed(shares.where(F.col("_first") < F.col("_end")))
+    tidy(spark)
     met = shares.groupBy(F.col("_source").alias("_s")).agg(F.max("_end").alias("_met"))
     settled = sources.join(met, sources["_source"] == met["_s"], "left").select("_source", F.lit(-(-n // SHARD_BLOCKS)).cast("long").alias("shard"), "_blocks", "_quota", F.coalesce("_met", F.lit(0)).cast("long").alias("_first"), F.col("_quota").alias("_end"))
     every = shares.unionByName(settled.where(F.col("_first") < F.col("_end")))

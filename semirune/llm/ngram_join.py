@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 from .graph import components, join_groups
 
 N_WORDS = 5
@@ -261,10 +261,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         tasks = tasks.unionByName(_blocks(met_in.withColumn("block", own_block("blocks")).withColumn("task", F.concat(F.lit("band "), F.col("bucket").cast("string")))))
     found = tasks.groupBy("task", "low", "high").applyInPandas(lambda g: _verify(g, threshold), "text_key string, links long, joined string")
     found = checkpointed(found)
+    tidy(docs.sparkSession)
     joined = components(found.select(F.col("text_key").alias("a"), F.col("joined").alias("b")))
     links = found.groupBy(F.col("text_key").alias("linked")).agg(F.sum("links").alias("links"))
     named = classes.select("text_key", "class_id", "copies").join(joined, F.col("text_key") == F.col("node"), "left").join(links, F.col("text_key") == F.col("linked"), "left")
     named = checkpointed(named.select("text_key", "class_id", "copies", F.coalesce("component", "text_key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    tidy(docs.sparkSession)
     least = named.groupBy(F.col("component").alias("of")).agg(F.min("class_id").alias("group_id"), F.count("*").alias("n"))
     named = join_groups(named, "component", least, "of", "n", n)
     named = named.select(F.col("text_key").alias("key"), "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "group_id", "component", F.col("copies").alias("n"))

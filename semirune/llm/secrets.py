@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: A private key, up to its end or, where that is missing, as far as its lines go.
 KEY = r"[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 PEM = rf"-----BEGIN {KEY}(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END {KEY}|(?:\s++[A-Za-z0-9+/=]{{40,}}+)++)"
@@ -145,7 +147,9 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
     rows = findings.select(features(F.col("found"), F.col("before"), F.col("after")).alias("f"), "label").select("f.*", "label")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors)
+    tidy(findings.sparkSession)
+    return forest
 
 
 def as_expression(forest, f: Column) -> Column:
