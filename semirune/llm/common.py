@@ -25,15 +25,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets go of shuffles, broadcasts and compiled plans that nothing refers to any more.
-
-    Spark's cleaner drops them only once the driver's heap has been collected,
-    which a driver with few rows of its own seldom does between many plans.
-    """
-    spark._jvm.System.gc()
-
-
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of bounded size from driver values, without an RDD."""
     parsed = F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))
