@@ -145,10 +145,11 @@ def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
         return F.concat_ws("|", *parts)
 
     each = mixed.pieces.where("uses > 0").groupBy("_source", "_start").agg(F.sort_array(F.collect_list(F.struct("word_from", "words", "uses"))).alias("pieces"))
-    each = mixed.documents.where("taken > 0").join(each, ["_source", "_start"], "left")
+    each = mixed.documents.where("taken > 0").join(each.hint("merge"), ["_source", "_start"], "left")
     each = each.select(key("doc_id", F.col("_text"), "source").alias("of"), F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), "pieces")
     rows = docs.select(F.struct("*").alias("row"), key("doc_id", F.xxhash64("text"), "source").alias("key"))
-    single = rows.join(each.where("copies = 1"), F.col("key") == F.col("of")).select("row", "pieces")
+    # Merged, not broadcast: what the mix takes grows with the documents, and would pass through the driver.
+    single = rows.join(each.where("copies = 1").hint("merge"), F.col("key") == F.col("of")).select("row", "pieces")
     # Rows that repeat read the same shuffle of texts, and only they are numbered.
     repeated = each.where("copies > 1")
     again = rows.join(repeated.groupBy(F.col("of").alias("repeated")).agg(F.max("copies")).select("repeated"), F.col("key") == F.col("repeated"))
