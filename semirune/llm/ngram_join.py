@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ HASHES = 144
 BLOCK = 512
 #: A candidate component of more blocks than this is compared band by band.
 MOST_BLOCKS = 24
+#: Words that a kernel's arrays hold at once, or one document.
+WORDS_AT_ONCE = 250_000
 SEED = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,6 +75,16 @@ def shingles(words: pa.ListArray, n: int = N_WORDS) -> tuple[np.ndarray, np.ndar
     return h[(at + n <= own_end) | (at == starts) & (own_end - starts < n)], counts
 
 
+def slices(batch: pa.RecordBatch, most: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most ``most`` ``words``, or of one document."""
+    ends = np.cumsum(np.asarray(batch.column("words").value_lengths().fill_null(0), dtype=np.int64))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def signatures(hashed: np.ndarray, counts: np.ndarray, bands: int, rows: int, seed: int = SEED) -> np.ndarray:
     """A hash for each band of each document with shingles: of ``rows`` minima under random maps."""
     rng = np.random.default_rng(seed)
@@ -103,7 +116,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, bands: the text's own hash, and the band hashes (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             hashed, counts = shingles(batch.column("words"))
             sig = signatures(hashed, counts, bands, rows)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
@@ -123,12 +136,12 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c != "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             hashed, counts = shingles(batch.column("words"))
-            parts = np.split(hashed.view(np.int64), np.cumsum(counts)[:-1]) if len(counts) else []
+            parts = np.split(hashed.view(np.int64), np.cumsum(counts)[:-1])
             sets = [np.unique(p) for p in parts]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            values = np.concatenate(sets)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*names, "shingles"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words")
@@ -160,27 +173,28 @@ def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nd
 
 def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links between the two blocks of a task, or within one: per text its links' copies and the smallest text it is joined to."""
-    group = group.drop_duplicates("text_key").sort_values("text_key", kind="stable")
+    group = group.drop_duplicates("node").sort_values("node", kind="stable")
     within = bool((group["low"] == group["high"]).iloc[0])
     mine = group if within else group[group["block"] == group["low"]]
     theirs = group if within else group[group["block"] == group["high"]]
     if not len(mine) or not len(theirs):
-        return pd.DataFrame({"text_key": [], "links": [], "joined": []}).astype({"text_key": object, "links": "int64", "joined": object})
+        return pd.DataFrame({"node": [], "links": [], "joined": []}, dtype="int64")
     linked = similar(list(mine["shingles"]), list(theirs["shingles"]), threshold)
     if within:
         np.fill_diagonal(linked, False)
     # A pair that meets in several bands counts in the first of them.
     for j in range(int(group["band"].iloc[0])):
         linked &= np.array([x[j] for x in mine["bands"]])[:, None] != np.array([x[j] for x in theirs["bands"]])[None, :]
-    links = pd.Series(0, index=group["text_key"])
-    links[mine["text_key"]] += linked @ theirs["copies"].to_numpy()
+    nodes = group["node"].to_numpy()
+    at, to = np.searchsorted(nodes, mine["node"]), np.searchsorted(nodes, theirs["node"])
+    links = np.zeros(len(nodes), np.int64)
+    links[at] += linked @ theirs["copies"].to_numpy()
     if not within:
-        links[theirs["text_key"]] += linked.T @ mine["copies"].to_numpy()
-    # The components of this task: labels are places in the order of keys.
-    place = {k: i for i, k in enumerate(group["text_key"])}
-    label = np.arange(len(group))
+        links[to] += linked.T @ mine["copies"].to_numpy()
+    # The components of this task: labels are places in the order of nodes.
+    label = np.arange(len(nodes))
     i, j = np.nonzero(linked)
-    rows, cols = np.array([place[k] for k in mine["text_key"]])[i], np.array([place[k] for k in theirs["text_key"]])[j]
+    rows, cols = at[i], to[j]
     while len(rows):
         before = label.copy()
         low = np.minimum(label[rows], label[cols])
@@ -189,16 +203,14 @@ def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         label = label[label]
         if (label == before).all():
             break
-    # Plain objects: Arrow-backed strings may come in chunks after a selection, which a struct can't hold.
-    keys = group["text_key"].to_numpy(dtype=object)
-    some = links.to_numpy() > 0
-    return pd.DataFrame({"text_key": keys[some], "links": links.to_numpy()[some], "joined": keys[label][some]}).astype({"text_key": object, "joined": object})
+    some = links > 0
+    return pd.DataFrame({"node": nodes[some], "links": links[some], "joined": nodes[label][some]})
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """A row for each task that a text is in: each two blocks of what ``task`` names."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.withColumn("other", other).select("text_key", "task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "bands", "copies", "shingles")
+    return rows.withColumn("other", other).select("node", "task", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "bands", "copies", "shingles")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -209,7 +221,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     Jaccard index of ``threshold`` or more. n_links counts the other rows a row
     is linked to, copies of its own text included; group_id is the smallest
     doc_id that can be reached over links. Groups may share it, or have none:
-    what tells them apart is component, their smallest text_key.
+    what tells them apart is component, a number.
 
     Bands and rows are chosen for ``recall`` at the threshold. Band hashes are
     shuffled without the texts; texts that meet in a band hash, directly or
@@ -234,37 +246,38 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     own = checkpointed(banded(docs, bands, rows))
     n = own.count()
     classes = own.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = checkpointed(classes)
-    buckets = classes.select("text_key", F.explode(F.array_distinct("bands")).alias("bucket"))
-    hubs = buckets.groupBy(F.col("bucket").alias("of")).agg(F.min("text_key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = components(join_groups(buckets, "bucket", hubs, "of", "n", n * bands).where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b")))
-    met = checkpointed(met.select(F.col("node").alias("text_key"), "component"))
+    # Numbers that are written once stand for the texts from here on: they are short, and no two texts share one.
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = classes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    hubs = buckets.groupBy(F.col("bucket").alias("of")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = components(join_groups(buckets, "bucket", hubs, "of", "n", n * bands).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    met = checkpointed(met)
     sizes = met.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     members = join_groups(met, "component", sizes, "of", "n", n).drop("of")
-    members = members.join(classes.select(F.col("text_key").alias("key"), "class_id", "copies", "bands"), F.col("text_key") == F.col("key")).drop("key")
+    members = members.join(classes, "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
 
     def with_sets(some: DataFrame) -> DataFrame:
         both = some.join(texts, (F.col("text_key") == F.col("key")) & F.col("class_id").eqNullSafe(F.col("id")))
-        return shingle_sets(both.select("text_key", "component", "blocks", "copies", "bands", word_hashes(F.col("text")).alias("words")))
+        return shingle_sets(both.select("node", "component", "blocks", "copies", "bands", word_hashes(F.col("text")).alias("words")))
 
-    own_block = lambda of: F.pmod(F.xxhash64("text_key", F.lit(SEED)), F.col(of)).cast("int")
+    own_block = lambda of: F.pmod(F.xxhash64("node", F.lit(SEED)), F.col(of)).cast("int")
     none = F.lit(None).cast("array<long>")
     narrow = with_sets(members.where(F.col("blocks") <= most_blocks).withColumn("bands", none))
-    tasks = _blocks(narrow.withColumn("block", own_block("blocks")).withColumn("band", F.lit(0)).withColumnRenamed("component", "task"))
+    tasks = _blocks(narrow.withColumn("block", own_block("blocks")).withColumn("band", F.lit(0)).withColumn("task", F.col("component").cast("string")))
     if not members.where(F.col("blocks") > most_blocks).isEmpty():
         wide = checkpointed(with_sets(members.where(F.col("blocks") > most_blocks)))
-        each = wide.select("text_key", F.posexplode("bands").alias("band", "bucket"))
+        each = wide.select("node", F.posexplode("bands").alias("band", "bucket"))
         crowds = each.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-        each = join_groups(each, "bucket", crowds, "of", "n", n * bands).select(F.col("text_key").alias("key"), "band", "bucket", "parts")
-        met_in = wide.join(each, F.col("text_key") == F.col("key")).drop("blocks").withColumnRenamed("parts", "blocks")
+        each = join_groups(each, "bucket", crowds, "of", "n", n * bands).select("node", "band", "bucket", "parts")
+        met_in = wide.join(each, "node").drop("blocks").withColumnRenamed("parts", "blocks")
         tasks = tasks.unionByName(_blocks(met_in.withColumn("block", own_block("blocks")).withColumn("task", F.concat(F.lit("band "), F.col("bucket").cast("string")))))
-    found = tasks.groupBy("task", "low", "high").applyInPandas(lambda g: _verify(g, threshold), "text_key string, links long, joined string")
+    found = tasks.groupBy("task", "low", "high").applyInPandas(lambda g: _verify(g, threshold), "node long, links long, joined long")
     found = checkpointed(found)
-    joined = components(found.select(F.col("text_key").alias("a"), F.col("joined").alias("b")))
-    links = found.groupBy(F.col("text_key").alias("linked")).agg(F.sum("links").alias("links"))
-    named = classes.select("text_key", "class_id", "copies").join(joined, F.col("text_key") == F.col("node"), "left").join(links, F.col("text_key") == F.col("linked"), "left")
-    named = checkpointed(named.select("text_key", "class_id", "copies", F.coalesce("component", "text_key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    joined = components(found.select(F.col("node").alias("a"), F.col("joined").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.select("node", "text_key", "class_id", "copies").join(joined, "node", "left").join(links, "node", "left")
+    named = checkpointed(named.select("text_key", "class_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
     least = named.groupBy(F.col("component").alias("of")).agg(F.min("class_id").alias("group_id"), F.count("*").alias("n"))
     named = join_groups(named, "component", least, "of", "n", n)
     named = named.select(F.col("text_key").alias("key"), "class_id", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "group_id", "component", F.col("copies").alias("n"))
