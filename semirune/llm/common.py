@@ -5,10 +5,15 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch between the JVM and Python, beyond which the next row begins another.
+ARROW_BYTES = "8m"
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder of spark.checkpoint.dir, which all executors share.
@@ -25,6 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, with batches of at most ARROW_BYTES where the session sets no other limit: rows alone are no bound for texts."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of bounded size from driver values, without an RDD."""
     parsed = F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{schema}>>"))

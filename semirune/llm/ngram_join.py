@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, map_in_arrow
 from .graph import components, join_groups
 
 N_WORDS = 5
@@ -124,7 +124,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists], names=["doc_id", "text_key", "bands"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), word_hashes(F.col("text")).alias("words"))
-    return rows_in.mapInArrow(run, "doc_id long, text_key string, bands array<long>")
+    return map_in_arrow(rows_in, run, "doc_id long, text_key string, bands array<long>")
 
 
 def text_key() -> Column:
@@ -145,7 +145,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*names, "shingles"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words")
-    return rows.select(*names, "words").mapInArrow(run, f"{schema}, shingles array<long>")
+    return map_in_arrow(rows.select(*names, "words"), run, f"{schema}, shingles array<long>")
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, literal_rows
+from .common import checkpointed, literal_rows, map_in_arrow
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(cut, PIECES)
+    return map_in_arrow(narrow, cut, PIECES)
 
 
 def patterns(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, list[int]]]:

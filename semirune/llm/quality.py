@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
+
 #: Lengths of the n-grams of bytes, and bits of the table that they are hashed into.
 GRAMS, TABLE_BITS = (1, 2, 3, 4), 18
 #: Labelled documents that the model is fitted on, at most.
@@ -204,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passed, pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields), "score double", "predicted int"])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(*kept), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, threshold: float = THRESHOLD) -> DataFrame:
