@@ -5,14 +5,47 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch between the JVM and Python, beyond which the next row begins another.
 ARROW_BYTES = "8m"
+#: Seconds between two returns of the driver's freed memory, at least.
+RETURN_EVERY = 3.0
+#: The JVM's command for it, as its management bean names it.
+RETURN_COMMAND = "systemTrimNativeHeap"
+_returned_at = float("-inf")
+
+
+def return_freed(spark: SparkSession) -> str | None:
+    """Give memory that the driver's JVM has freed outside of its heap back to the system; what the JVM says of it.
+
+    Compiling a plan's code takes much memory for a moment. The C library keeps
+    it in pools of many threads, so it adds up over the plans of a session. A
+    JVM without the command System.trim_native_heap goes on as it is.
+    """
+    global _returned_at
+    if time.monotonic() - _returned_at < RETURN_EVERY:
+        return None
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        named = jvm.java.lang.Class.forName
+        types, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = named(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), RETURN_COMMAND
+        # Through the interface: the class of the server is not open to callers.
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", types)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return None
+    finally:
+        _returned_at = time.monotonic()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,7 +60,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    return_freed(df.sparkSession)
+    return done
 
 
 def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

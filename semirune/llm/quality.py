@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_in_arrow
+from .common import map_in_arrow, return_freed
 
 #: Lengths of the n-grams of bytes, and bits of the table that they are hashed into.
 GRAMS, TABLE_BITS = (1, 2, 3, 4), 18
@@ -179,6 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, seed: int
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_fit)
     # At most max_fit rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).toArrow()
+    return_freed(docs.sparkSession)
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     texts = rows.column("text").combine_chunks()
     return fit((texts[i].as_py() or "" for i in order), rows.column("quality").to_numpy()[order].astype(float), seed)
